@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from orderlens.functions.exprs import join_groups
 from orderlens.session import materialise, settle
@@ -64,21 +64,27 @@ class OrderedGroups:
 
         Rows of one (group, within) must be contiguous in the order.
         """
-        own = F.sum(value).over(self.window(within).rowsBetween(W.unboundedPreceding, 0))
+        return self._running(F.sum, value, [within], name, lambda own, before: own + F.coalesce(before, F.lit(0.0)))
+
+    def running_max(self, value: str, name: str) -> OrderedGroups:
+        """Largest ``value`` of the group up to the row."""
+        return self._running(F.max, value, [], name, lambda own, before: F.greatest(own, before))
+
+    def _running(self, fold, value: str, within: list[str], name: str, combine) -> OrderedGroups:
+        own = fold(value).over(self.window(*within).rowsBetween(W.unboundedPreceding, 0))
         if not self.split:
             return self.with_columns({name: own})
-        keys = [*self.keys, within]
+        keys = [*self.keys, *within]
         per_chunk = (
-            self.rows.filter(F.col(LAST) > 0)
-            .groupBy(*keys, CHUNK)
-            .agg(F.sum(value).alias("_total"))
+            self.rows.filter(F.col(LAST) > 0).groupBy(*keys, CHUNK).agg(fold(value).alias("_total"))
         )
         before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-        carried = per_chunk.select(*keys, CHUNK, F.sum("_total").over(before).alias("_carried"))
+        carried = per_chunk.select(*keys, CHUNK, fold("_total").over(before).alias("_carried"))
         carried = carried.filter(F.col("_carried").isNotNull())
         rows = join_groups(self.rows.withColumn(name, own), carried, [*keys, CHUNK])
-        total = F.col(name) + F.coalesce("_carried", F.lit(0.0))
-        return replace(self, rows=rows.withColumn(name, total).drop("_carried"))
+        return replace(
+            self, rows=rows.withColumn(name, combine(F.col(name), F.col("_carried"))).drop("_carried")
+        )
 
     def with_history(self, n: int) -> OrderedGroups:
         """Give every chunk the ``n`` rows before it, marked as history.
@@ -117,7 +123,10 @@ def ordered_groups(
     max_rows: int | None = None,
     count_on: DataFrame | None = None,
 ) -> OrderedGroups:
-    """Prepare ``df`` for windows over ``keys`` in ``order`` (a timestamp, then tie-breaks)."""
+    """Prepare ``df`` for windows over ``keys`` in ``order``, which must be unique per row.
+
+    ``count_on`` may name a cheaper table with the same groups to read sizes from.
+    """
     max_rows = max_rows or MAX_GROUP_ROWS
     hot = groups_above(df if count_on is None else count_on, keys, max_rows)
     if hot is None:
@@ -129,7 +138,12 @@ def ordered_groups(
     def counted(rows: DataFrame) -> DataFrame:
         return materialise(rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
 
-    daily = df.withColumn("_cell", F.datediff(F.col(order[0]), F.lit("1970-01-01").cast("date")))
+    # A non-decreasing function of the order: the day of a timestamp, or one cell.
+    if isinstance(df.schema[order[0]].dataType, T.TimestampType):
+        cell = F.datediff(F.col(order[0]), F.lit("1970-01-01").cast("date"))
+    else:
+        cell = F.lit(0)
+    daily = df.withColumn("_cell", cell)
     cells = counted(only_hot(daily))
     size = cells.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
     if size["largest"] > max_rows:

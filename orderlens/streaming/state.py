@@ -1,8 +1,8 @@
 """Keyed running state of the live features.
 
 Two processors, one per state key. Each call gets the rows of one key in one
-micro-batch; they are put in event order, evaluated together with NumPy, and the
-bounded state (30 prices, or 7 quantities and two counters) is written back once.
+micro-batch; they are put in event order, and the bounded state (30 prices, or 7
+quantities and two counters) is read and written once per call.
 Across micro-batches the order is that of arrival.
 """
 
@@ -12,16 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from orderlens.functions.exprs import join_groups, zscore
+from orderlens.functions.exprs import MICROS_PER_DAY, join_groups, zscore
 from orderlens.operators.features import CATEGORY, PRICE_FEATURE, PRICE_WINDOW, delivery_delay
 from orderlens.session import ship_package
 from orderlens.operators.inventory import DEMAND_WINDOW, RESTOCK_DAYS
 from orderlens.sources.orders import EVENT_ORDER, PAIR_KEYS, PRICE_KEYS
 
-DAY_NS = 86_400_000_000_000
+STOCK_ORDER = ["order_us", "order_id", "order_item_id"]
 
 
 def _event_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -68,8 +68,9 @@ class RollingPrice(StatefulProcessor):
 class RunningStock(StatefulProcessor):
     """Stock after the order and days of cover of one (product, region) pair.
 
-    An order of an earlier restock window is charged to the current one. A pair
-    without history starts from base stock 0.
+    Pairs are many and small, so rows are handled one by one. An order of an
+    earlier restock window is charged to the current one; a pair without history
+    starts from base stock 0; an unknown quantity counts as 0.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -78,55 +79,30 @@ class RunningStock(StatefulProcessor):
             "base_stock double, first_us long, last_window long, used double, quantities array<double>",
         )
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self._stock.update(
-            (
-                float(row["base_stock"]),
-                int(row["first_us"]),
-                int(row["last_window"]),
-                float(row["used"]),
-                [None if pd.isna(q) else float(q) for q in row["quantities"]],
-            )
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _event_order(rows)
-        state = self._stock.get() if self._stock.exists() else None
-        base, first_us, window, used, recent = state if state else (0.0, None, 0, 0.0, [])
-        history = np.asarray([np.nan if q is None else q for q in recent], dtype=float)
-        quantity = batch["quantity"].fillna(0.0).to_numpy(dtype=float)
-        if first_us is None:
-            windows = np.full(len(batch), window, dtype=np.int64)
-        else:
-            ns = batch["order_date"].astype("datetime64[ns]").astype("int64").to_numpy()
-            windows = (ns - int(first_us) * 1000) // DAY_NS // RESTOCK_DAYS
-            windows = np.maximum(np.maximum.accumulate(windows), window)
-        total = np.cumsum(quantity)
-        fresh = np.concatenate([[windows[0] > window], windows[1:] > windows[:-1]])
-        total_before = total - quantity
-        start = np.where(fresh, total_before, -np.inf)
-        start = np.maximum.accumulate(start)
-        consumed = np.where(np.isfinite(start), total - start, total + used)
-        stock = base - consumed
-        earlier = _last_values(history, quantity, np.ones(len(batch), bool), DEMAND_WINDOW)
-        known = np.isfinite(earlier)
-        mean = np.where(known, earlier, 0.0).sum(axis=1) / np.maximum(known.sum(axis=1), 1)
-        demand = np.where(known.any(axis=1), mean, quantity)
-        cover = np.divide(stock, demand, out=np.full(len(batch), np.nan), where=demand > 0)
-        batch["stock_after_order"] = stock
-        batch["days_of_cover_remaining"] = cover
-        kept = np.concatenate([history, quantity])[-DEMAND_WINDOW:]
-        self._stock.update(
-            (
-                base,
-                first_us,
-                int(windows[-1]),
-                float(consumed[-1]),
-                [None if np.isnan(q) else float(q) for q in kept],
-            )
-        )
-        yield batch
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        s = initialState
+        self._stock.update((s.base_stock, s.first_us, s.last_window, s.used, list(s.quantities)))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        seen = self._stock.get() if self._stock.exists() else None
+        base, first_us, window, used, recent = seen or (0.0, None, 0, 0.0, [])
+        recent = list(recent)
+        out = []
+        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in STOCK_ORDER]):
+            if first_us is not None and row.order_us is not None:
+                entered = (row.order_us - first_us) // MICROS_PER_DAY // RESTOCK_DAYS
+                if entered > window:
+                    window, used = entered, 0.0
+            quantity = row.quantity or 0.0
+            used += quantity
+            known = [q for q in recent if q is not None]
+            demand = sum(known) / len(known) if known else quantity
+            stock = base - used
+            recent = [*recent, quantity][-DEMAND_WINDOW:]
+            cover = stock / demand if demand > 0 else None
+            out.append(Row(**row.asDict(), stock_after_order=stock, days_of_cover_remaining=cover))
+        self._stock.update((base, first_us, window, used, recent))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -165,10 +141,15 @@ def live_features(
         initialState=prices.groupBy(*PRICE_KEYS),
     )
     seeded = inventory.withColumn("first_us", F.unix_micros("first_order_date")).drop("first_order_date")
-    return priced.groupBy(*PAIR_KEYS).transformWithStateInPandas(
-        RunningStock(),
-        outputStructType=_plus(priced.schema, "stock_after_order", "days_of_cover_remaining"),
-        outputMode="append",
-        timeMode="none",
-        initialState=seeded.groupBy(*PAIR_KEYS),
+    timed = priced.withColumn("order_us", F.unix_micros("order_date"))
+    return (
+        timed.groupBy(*PAIR_KEYS)
+        .transformWithState(
+            RunningStock(),
+            outputStructType=_plus(timed.schema, "stock_after_order", "days_of_cover_remaining"),
+            outputMode="append",
+            timeMode="none",
+            initialState=seeded.groupBy(*PAIR_KEYS),
+        )
+        .drop("order_us")
     )
