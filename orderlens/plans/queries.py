@@ -158,11 +158,11 @@ def flagged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_cut(spark: SparkSession, sf_dir: str):
-    """Start of the replay: the last 90 days are replayed, all before is history."""
+    """Start of the replay: the last 1,095 days are replayed, all before is history."""
     orders = order_table(spark, sf_dir)
     return _once(
         spark, sf_dir, "cut",
-        lambda: orders.agg(F.max("order_date")).first()[0] - timedelta(days=90),
+        lambda: orders.agg(F.max("order_date")).first()[0] - timedelta(days=1095),
     )
 
 
@@ -635,20 +635,31 @@ def live_scoring(spark, sf):
     """The labelled stream through the live path: scores, flags and reasons."""
     live = apply_scaler(evaluation_stream(spark, sf), fitted_scaler(spark, sf))
     scored = flag_rows(norm_score(live), calibrated(spark, sf))
-    return ev.with_labels(scored.select(ITEM, "score", "flagged", "reason"), labelled_table(spark, sf))
+    out = ev.with_labels(scored.select(ITEM, "score", "flagged", "reason"), labelled_table(spark, sf))
+    return out.withColumn("score", r4(F.col("score")))
 
 
 @query
 def live_evaluation(spark, sf):
     out = ev.prf(live_scoring(spark, sf), F.col("flagged"))
-    return out.select("n", "tp", "fp", "fn", "tn", *RATES)
+    return out.select("n", "tp", "fp", "fn", "tn", *rounded(RATES))
 
 
-@query
-def parity_summary(spark, sf):
+def _parity(spark, sf) -> DataFrame:
     orders, replay = history_and_replay(spark, sf)
     live = replay_features(replay, *replay_seeds(spark, sf))
-    return parity.parity_summary(parity.parity_table(live, offline_reference(orders)))
+    return parity.parity_table(live, offline_reference(orders))
+
+
+@query
+def parity_summary(spark, sf):
+    out = parity.parity_summary(_parity(spark, sf))
+    return out.withColumn("max_abs_delta", r4(F.col("max_abs_delta")))
+
+
+@query
+def parity_result(spark, sf):
+    return parity.parity_result(_parity(spark, sf))
 
 
 def _shuffled(spark, sf) -> DataFrame:
