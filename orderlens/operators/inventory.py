@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orderlens.functions.exprs import elapsed_days, join_groups
 from orderlens.operators.features import category_zscores, price_deviation
-from orderlens.operators.ordered import ordered_groups
+from orderlens.operators.ordered import MAX_GROUP_ROWS, groups_above, ordered_groups
 from orderlens.sources.orders import EVENT_ORDER, PAIR_KEYS, dated_orders
 
 RESTOCK_DAYS = 14
@@ -26,33 +26,58 @@ def base_stock(orders: Column, windows: Column, mean_quantity: Column, multiple:
     return F.greatest(F.lit(1.0), F.bround(level).cast("double"))
 
 
-def with_restock_window(orders: DataFrame, days: int = RESTOCK_DAYS) -> DataFrame:
-    """Add ``first_order_date`` and the restock window of each order."""
-    rows = dated_orders(orders, PAIR_KEYS)
-    first = rows.groupBy(*PAIR_KEYS).agg(F.min("order_date").alias("first_order_date"))
-    rows = join_groups(rows, first, PAIR_KEYS)
-    return rows.withColumn(WINDOW, window_id("order_date", "first_order_date", days))
+def with_restock_window(
+    orders: DataFrame,
+    days: int = RESTOCK_DAYS,
+    max_rows: int | None = None,
+    keep_unkeyed: bool = False,
+) -> DataFrame:
+    """Add ``first_order_date`` and the restock window of each order.
+
+    While every pair fits into one task the first date is a window, so that
+    later work per pair reuses its shuffle; else it is aggregated and joined.
+    """
+    rows = dated_orders(orders, [] if keep_unkeyed else PAIR_KEYS)
+    if groups_above(rows, PAIR_KEYS, max_rows or MAX_GROUP_ROWS) is None:
+        first = F.min("order_date").over(W.partitionBy(*PAIR_KEYS))
+        rows = rows.withColumn("first_order_date", first)
+    else:
+        first = rows.groupBy(*PAIR_KEYS).agg(F.min("order_date").alias("first_order_date"))
+        rows = join_groups(rows, first, PAIR_KEYS)
+    entered = window_id("order_date", "first_order_date", days)
+    keyed = F.col(PAIR_KEYS[0]).isNotNull() & F.col(PAIR_KEYS[1]).isNotNull()
+    return rows.withColumn(WINDOW, F.when(keyed, entered) if keep_unkeyed else entered)
 
 
 def pair_constants(
-    orders: DataFrame, days: int = RESTOCK_DAYS, multiple: int = STOCK_MULTIPLE
+    orders: DataFrame,
+    days: int = RESTOCK_DAYS,
+    multiple: int = STOCK_MULTIPLE,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """One row per pair: first order date and base stock."""
     per_window = (
-        with_restock_window(orders, days)
-        .groupBy(*PAIR_KEYS, WINDOW)
-        .agg(
-            F.count(F.lit(1)).alias("_orders"),
-            F.sum("quantity").alias("_quantity"),
-            F.count("quantity").alias("_known"),
-            F.min("first_order_date").alias("first_order_date"),
-        )
+        with_restock_window(orders, days, max_rows).groupBy(*PAIR_KEYS, WINDOW).agg(*window_totals())
     )
+    return per_window.groupBy(*PAIR_KEYS).agg(*constants_of(multiple))
+
+
+def window_totals() -> list[Column]:
+    """Per (pair, window) totals from which the pair's constants follow."""
+    return [
+        F.count(F.lit(1)).alias("_orders"),
+        F.sum("quantity").alias("_quantity"),
+        F.count("quantity").alias("_known"),
+        F.min("first_order_date").alias("first_order_date"),
+    ]
+
+
+def constants_of(multiple: int = STOCK_MULTIPLE) -> list[Column]:
     mean_quantity = F.try_divide(F.sum("_quantity"), F.sum("_known"))
-    return per_window.groupBy(*PAIR_KEYS).agg(
+    return [
         F.min("first_order_date").alias("first_order_date"),
         base_stock(F.sum("_orders"), F.count(F.lit(1)), mean_quantity, multiple).alias("base_stock"),
-    )
+    ]
 
 
 def _constants_in_place(groups, days: int, multiple: int):
@@ -85,7 +110,7 @@ def inventory_balance(
     rows = dated_orders(orders, [] if keep_unkeyed else PAIR_KEYS)
     groups = ordered_groups(rows, PAIR_KEYS, EVENT_ORDER, max_rows, count_on)
     if groups.split:
-        constants = pair_constants(rows, days, multiple)
+        constants = pair_constants(rows, days, multiple, max_rows)
         joined = join_groups(groups.rows, constants, PAIR_KEYS)
         groups = type(groups)(joined, groups.keys, groups.order, True).with_columns(
             {WINDOW: window_id("order_date", "first_order_date", days)}

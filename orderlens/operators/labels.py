@@ -13,7 +13,7 @@ from orderlens.operators.features import PRICE_FEATURE, category_zscores, price_
 from orderlens.operators.inventory import RESTOCK_DAYS, WINDOW, inventory_balance, with_restock_window
 from orderlens.operators.quantiles import grouped_percentiles
 from orderlens.operators.sampling import SEED, disjoint_subsets, running_total_by_hash
-from orderlens.session import materialise
+from orderlens.session import materialise, settle
 from orderlens.sources.orders import EVENT_ORDER, PAIR_KEYS
 
 # The anomaly families and the size of each injection.
@@ -88,15 +88,14 @@ def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first).select(*keys, "r.*")
 
 
-def burst_rows(
-    changed: DataFrame, seed: int = SEED, max_rows: int | None = None, ids_from: DataFrame | None = None
-) -> DataFrame:
+def burst_rows(changed: DataFrame, seed: int = SEED, max_rows: int | None = None) -> DataFrame:
     """3 to 5 extra orders for every restock window that holds a burst seed.
 
     ``changed`` carries ``subset``, the restock window and the injected prices.
-    New ids continue from the highest ones in ``ids_from`` (default ``changed``).
+    New ids continue from the highest ones.
     """
-    windows = changed.filter(F.col("subset") == 2).select(*WINDOW_KEYS).distinct()
+    seeds = changed.filter((F.col("subset") == 2) & F.col(WINDOW).isNotNull())
+    windows = settle(seeds.select(*WINDOW_KEYS).distinct())
     members = materialise(join_groups(changed, windows, WINDOW_KEYS, "left_semi"), "members")
     stats = window_stats(members, max_rows=max_rows)
     plain = ["order_id", "order_item_id", "order_date", "supplier", "category_name"]
@@ -114,10 +113,11 @@ def burst_rows(
     numbered = running_total_by_hash(
         sized, hash60(seed, "burst_id", *WINDOW_KEYS), WINDOW_KEYS, "burst_size", "_before"
     )
-    source = changed if ids_from is None else ids_from
-    top = source.agg(
+    item = F.col("order_item_id")
+    number = F.when(item.rlike("^[0-9]{1,18}$"), item.cast("bigint"))
+    top = changed.agg(
         F.max("order_id").alias("order_id"),
-        F.max(F.col("order_item_id").try_cast("bigint")).alias("item_id"),
+        F.max(number).alias("item_id"),
     ).first()
     top_item = top["item_id"] if top["item_id"] is not None else top["order_id"]
 
@@ -186,8 +186,9 @@ def labelled_orders(
     median price), so injected prices do not leak into it; z-scores and stock are
     recomputed on the changed table.
     """
-    changed = materialise(changed_orders(orders, seed, fraction, max_rows), "changed")
-    bursts = burst_rows(with_restock_window(changed, days), seed, max_rows, changed)
+    changed = changed_orders(orders, seed, fraction, max_rows)
+    changed = materialise(with_restock_window(changed, days, max_rows, True), "changed")
+    bursts = burst_rows(changed, seed, max_rows)
     full = materialise(changed.select(*bursts.columns).unionByName(bursts), "labelled_raw")
     featured = category_zscores(full.withColumn(PRICE_FEATURE, F.col("price") - F.col("baseline")))
     stocked = inventory_balance(featured, days, max_rows=max_rows, keep_unkeyed=True, count_on=full)

@@ -29,9 +29,12 @@ CHUNK, LAST, HISTORY = "_chunk", "_last_chunk", "_history"
 def groups_above(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
     """Keys of the groups with more than ``max_rows`` rows; None if there are none.
 
-    A column-pruned count with map-side combine. What is kept has at most
+    A table that is small as a whole needs no look at its groups. Otherwise a
+    column-pruned count with map-side combine; what is kept has at most
     rows / max_rows entries.
     """
+    if df.count() <= max_rows:
+        return None
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
     hot = settle(hot.select(*keys))
     if hot.isEmpty():

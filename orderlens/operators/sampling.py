@@ -45,11 +45,16 @@ def hash_cuts(df: DataFrame, h: Column, id_col: str, ranks: list[int]) -> list[t
         if all(below[f"b{i}"] < r <= below[f"u{i}"] for i, r in enumerate(ranks)):
             break
         slack *= 4
+    # Coarse test by leading bits: the hash is computed once per row, not per bracket.
+    shift = max(max(high - low for low, high in brackets).bit_length() - 3, 0)
+    buckets = {b for low, high in brackets for b in range(low >> shift, (high >> shift) + 1)}
+    candidates = settle(keyed.filter(F.shiftright("h", shift).isin(sorted(buckets))))
     cuts = []
     for i, (r, (low, high)) in enumerate(zip(ranks, brackets)):
-        inside = keyed.filter(F.col("h").between(low, high)).orderBy("h", "id")
+        inside = candidates.filter(F.col("h").between(low, high)).orderBy("h", "id")
         row = inside.offset(r - below[f"b{i}"] - 1).first()
         cuts.append((row["h"], row["id"]))
+    candidates.unpersist()
     return cuts
 
 

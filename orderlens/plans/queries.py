@@ -173,8 +173,7 @@ def history_and_replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 def replay_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     orders, replay = history_and_replay(spark, sf_dir)
-    ids = replay.select(ITEM)
-    return seed.frozen_stats(orders), seed.price_tail(orders, ids), seed.inventory_tail(orders, ids)
+    return seed.seed_tables(orders, replay)
 
 
 def evaluation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +181,7 @@ def evaluation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build():
         orders, labelled = order_table(spark, sf_dir), labelled_table(spark, sf_dir)
-        ids = seed.shared_ids(labelled, orders)
-        seeds = (
-            seed.frozen_stats(orders), seed.price_tail(orders, ids), seed.inventory_tail(orders, ids)
-        )
+        seeds = seed.seed_tables(orders, seed.shared_ids(labelled, orders))
         raw = labelled.select(*[c for c in orders.columns])
         return materialise(replay_features(raw, *seeds), "replayed")
 
@@ -258,7 +254,7 @@ _orders_query(
 
 
 def _changed(o: DataFrame) -> DataFrame:
-    return with_restock_window(materialise(lab.changed_orders(o), "changed"))
+    return materialise(with_restock_window(lab.changed_orders(o), keep_unkeyed=True), "changed")
 
 
 def _window_stats(o: DataFrame) -> DataFrame:

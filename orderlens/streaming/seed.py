@@ -14,9 +14,12 @@ from orderlens.operators.features import CATEGORY, PRICE_WINDOW, delivery_delay
 from orderlens.operators.inventory import (
     DEMAND_WINDOW,
     RESTOCK_DAYS,
-    pair_constants,
-    window_id,
+    WINDOW,
+    constants_of,
+    window_totals,
+    with_restock_window,
 )
+from orderlens.session import materialise
 from orderlens.sources.orders import EVENT_ORDER, PAIR_KEYS, PRICE_KEYS, dated_orders
 
 
@@ -66,33 +69,72 @@ def _tail(rows: DataFrame, keys: list[str], value: str, n: int, name: str) -> Da
     return kept.groupBy(*keys).agg(listed.getField("v").alias(name))
 
 
+REPLAYED = "_replayed"
+
+
+def mark_replayed(history: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Add ``_replayed``: whether the order is in ``ids``."""
+    if ids is None:
+        return history.withColumn(REPLAYED, F.lit(False))
+    marks = ids.select("order_item_id").distinct().withColumn(REPLAYED, F.lit(True))
+    joined = history.join(marks, "order_item_id", "left")
+    return joined.withColumn(REPLAYED, F.coalesce(REPLAYED, F.lit(False)))
+
+
+def _marked(history: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return history if REPLAYED in history.columns else mark_replayed(history, ids)
+
+
 def price_tail(history: DataFrame, ids: DataFrame | None = None, n: int = PRICE_WINDOW) -> DataFrame:
     """Last ``n`` known prices per (supplier, category)."""
-    rows = without_ids(dated_orders(history), ids).filter(finite("price").isNotNull())
+    rows = _marked(dated_orders(history), ids).filter(~F.col(REPLAYED) & finite("price").isNotNull())
     return _tail(rows, PRICE_KEYS, "price", n, "prices")
 
 
 def inventory_tail(
-    history: DataFrame, ids: DataFrame | None = None, days: int = RESTOCK_DAYS, n: int = DEMAND_WINDOW
+    history: DataFrame,
+    ids: DataFrame | None = None,
+    days: int = RESTOCK_DAYS,
+    n: int = DEMAND_WINDOW,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Per pair: constants, last restock window, quantity used in it, last quantities."""
-    rows = dated_orders(history, PAIR_KEYS)
-    constants = pair_constants(rows, days)
-    earlier = without_ids(rows, ids)
-    windowed = join_groups(earlier, constants.select(*PAIR_KEYS, "first_order_date"), PAIR_KEYS, "inner")
-    used = (
-        windowed.withColumn("_w", window_id("order_date", "first_order_date", days))
-        .groupBy(*PAIR_KEYS, "_w")
-        .agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("_used"))
-        .groupBy(*PAIR_KEYS)
-        .agg(F.max("_w").alias("last_window"), F.max_by("_used", "_w").alias("used"))
+    rows = _marked(dated_orders(history, PAIR_KEYS), ids)
+    earlier = ~F.col(REPLAYED)
+    per_window = (
+        with_restock_window(rows, days, max_rows)
+        .groupBy(*PAIR_KEYS, WINDOW)
+        .agg(
+            *window_totals(),
+            F.count(F.when(earlier, 1)).alias("_earlier"),
+            F.sum(F.when(earlier, F.col("quantity"))).alias("_used"),
+        )
+    )
+    last = F.when(F.col("_earlier") > 0, F.col(WINDOW))
+    pairs = per_window.groupBy(*PAIR_KEYS).agg(
+        *constants_of(), F.max(last).alias("last_window"), F.max_by("_used", last).alias("used")
     )
-    recent = _tail(earlier, PAIR_KEYS, "quantity", n, "quantities")
-    seeded = join_groups(join_groups(constants, used, PAIR_KEYS), recent, PAIR_KEYS)
-    return seeded.withColumns(
+    recent = _tail(rows.filter(earlier), PAIR_KEYS, "quantity", n, "quantities")
+    return join_groups(pairs, recent, PAIR_KEYS).withColumns(
         {
             "last_window": F.coalesce("last_window", F.lit(0).cast("bigint")),
             "used": F.coalesce("used", F.lit(0.0)),
             "quantities": F.coalesce("quantities", F.array().cast("array<double>")),
         }
     )
+
+
+def seed_tables(
+    history: DataFrame, ids: DataFrame | None = None, max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Statistics, price tails and inventory tails, each written once.
+
+    The replayed orders are looked up once for both tails.
+    """
+    needed = [*dict.fromkeys([*PRICE_KEYS, *PAIR_KEYS, *EVENT_ORDER, "price", "quantity"])]
+    marked = materialise(mark_replayed(dated_orders(history).select(*needed), ids), "marked")
+    return (
+        materialise(frozen_stats(history), "stats"),
+        materialise(price_tail(marked), "prices"),
+        materialise(inventory_tail(marked, max_rows=max_rows), "inventory"),
+    )
