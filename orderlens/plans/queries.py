@@ -285,12 +285,13 @@ LABELLED_DOUBLES = [
     "delivery_delay_days", "delivery_delay_deviation", "discount_rate_anomaly", PRICE_FEATURE,
     *lab.STOCK_COLUMNS,
 ]
-_orders_query(
-    "labelled_orders",
-    lambda o: lab.labelled_orders(o).select(
+
+
+@query
+def labelled_orders(spark, sf):
+    return labelled_table(spark, sf).select(
         "order_id", ITEM, *PAIR_KEYS, *rounded(LABELLED_DOUBLES), text("order_date"), "is_anomaly", "anomaly_type"
-    ),
-)
+    )
 
 
 @query
