@@ -251,6 +251,49 @@ FROM (SELECT order_item_id, is_anomaly, anomaly_type,
   coalesce(avg(quantity) OVER (PARTITION BY {PAIR} ORDER BY {ORDER} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), quantity) AS demand
   FROM live_windows JOIN clean_stats USING (category_name))
 """
+LATEST = "ORDER BY order_date DESC, order_id DESC, order_item_id DESC"
+STEPS["arrivals"] = f"SELECT z.*, {h60('arrival', 'order_item_id')} AS arrival FROM clean_stock z, cut WHERE order_date>=cut"
+STEPS["earlier_orders"] = "SELECT z.* FROM clean_stock z, cut WHERE order_date<cut"
+STEPS["shuffled_price"] = f"""
+SELECT order_item_id, price-coalesce(median(price) OVER (PARTITION BY supplier, category_name ORDER BY arrival, pos
+  ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), price) AS deviation
+FROM (SELECT order_item_id, supplier, category_name, price, arrival, 0 AS pos FROM arrivals UNION ALL
+  SELECT NULL, supplier, category_name, price, -1, -back FROM (SELECT *, row_number() OVER
+    (PARTITION BY supplier, category_name {LATEST}) AS back FROM earlier_orders) WHERE back<=30)
+"""
+STEPS["shuffled_demand"] = f"""
+SELECT order_item_id, coalesce(avg(quantity) OVER (PARTITION BY {PAIR} ORDER BY arrival, pos
+  ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), quantity) AS demand
+FROM (SELECT order_item_id, {PAIR}, quantity, arrival, 0 AS pos FROM arrivals UNION ALL
+  SELECT NULL, {PAIR}, quantity, -1, -back FROM (SELECT *, row_number() OVER
+    (PARTITION BY {PAIR} {LATEST}) AS back FROM earlier_orders) WHERE back<=7)
+"""
+STEPS["last_windows"] = f"""
+SELECT {PAIR}, max(restock_window) AS last_window, arg_max(q, restock_window) AS used
+FROM (SELECT {PAIR}, restock_window, sum(quantity) AS q FROM earlier_orders GROUP BY ALL) GROUP BY {PAIR}
+"""
+STEPS["shuffled_windows"] = f"""
+SELECT a.*, coalesce(last_window,0) AS seeded, coalesce(used,0.0) AS used, greatest(max(restock_window) OVER
+  (PARTITION BY product_id, order_region ORDER BY arrival ROWS UNBOUNDED PRECEDING), coalesce(last_window,0)) AS in_window
+FROM arrivals a LEFT JOIN last_windows USING ({PAIR})
+"""
+STEPS["shuffled"] = f"""
+SELECT order_item_id, deviation AS {PRICE}, delivery_delay_deviation, discount_rate_anomaly, stock AS stock_after_order,
+  stock/demand AS days_of_cover_remaining
+FROM (SELECT *, base_stock-sum(quantity) OVER (PARTITION BY {PAIR}, in_window ORDER BY arrival ROWS UNBOUNDED PRECEDING)
+  -CASE WHEN in_window=seeded THEN used ELSE 0.0 END AS stock FROM shuffled_windows)
+  JOIN shuffled_price USING (order_item_id) JOIN shuffled_demand USING (order_item_id)
+"""
+STEPS["shuffled_scored"] = scaled_sql("shuffled")
+STEPS["apart"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, abs(a.{f}-b.{f}) AS delta FROM shuffled a JOIN clean_stock b USING (order_item_id) "
+    f"WHERE abs(a.{f}-b.{f})>1e-6+1e-6*abs(b.{f})"
+    for f in FEATURES
+)
+STEPS["verdicts"] = """
+SELECT a.score>=threshold AS live, b.score>=threshold AS offline
+FROM calibrated, shuffled_scored a JOIN clean_scored b USING (order_item_id)
+"""
 STEPS["live_scored"] = scaled_sql("live")
 STEPS["cut"] = "SELECT max(order_date) - INTERVAL 1095 DAY AS cut FROM order_items"
 
@@ -373,6 +416,8 @@ QUERIES: dict[str, str] = {
     "parity_summary": _union([f"SELECT '{f}' AS feature, count(*) AS exact, count(*) AS total, 0.0::DOUBLE AS max_abs_delta, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut" for f in FEATURES]),
     "parity_result": "SELECT count(*) AS exact_rows, count(*) AS rows, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut",
     "stream_envelope": f"SELECT {ITEM}, order_id, {PAIR}, {r4('price','price')}, {TS} FROM order_items",
+    "parity_divergence": f"SELECT feature, count(*) AS diverged, {r4('avg(delta)','mean_delta')}, {r4('max(delta)','max_delta')}, {r4('median(delta)','median_delta')} FROM apart GROUP BY 1",
+    "verdict_flips": f"SELECT count(*) AS rows, count(*) FILTER (WHERE offline) AS flagged_offline, count(*) FILTER (WHERE live) AS flagged_live, count(*) FILTER (WHERE live<>offline) AS flipped, {r4(ratio('count(*) FILTER (WHERE live<>offline)','count(*)'),'flip_rate')} FROM verdicts",
     "train_split": f"SELECT {ITEM}, split FROM split",
     "median_impute": "SELECT " + ", ".join(r4(f"med_{i}", f) for i, f in enumerate(FEATURES)) + " FROM medians",
     "price_scale": f"SELECT {rounded(['price_median','price_mad','price_scale'])} FROM price_scales",

@@ -669,13 +669,15 @@ def _shuffled(spark, sf) -> DataFrame:
 @query
 def parity_divergence(spark, sf):
     table = parity.parity_table(_shuffled(spark, sf), offline_reference(order_table(spark, sf)))
-    return parity.parity_divergence(materialise(table, "parity"))
+    out = parity.parity_divergence(materialise(table, "parity"))
+    return out.select("feature", "diverged", *rounded(["mean_delta", "max_delta", "median_delta"]))
 
 
 @query
 def verdict_flips(spark, sf):
     live = norm_score(apply_scaler(_shuffled(spark, sf), fitted_scaler(spark, sf)))
-    return parity.verdict_flips(live, clean_scored_table(spark, sf), _at(calibrated(spark, sf)))
+    out = parity.verdict_flips(live, clean_scored_table(spark, sf), _at(calibrated(spark, sf)))
+    return out.withColumn("flip_rate", r4(F.col("flip_rate")))
 
 
 @query
