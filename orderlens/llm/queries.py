@@ -77,7 +77,7 @@ WITH p AS (
   SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p
 ), t AS (
   SELECT page_id, payload_bytes,
-         array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '')
            AS payload_digest,
          min(page_id) OVER (PARTITION BY hex) AS first_page
@@ -97,15 +97,15 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
            ELSE list_transform(range(1, len(words) - 1),
-                  i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END)) AS shingle
+                  lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END)) AS shingle
   FROM w WHERE len(words) > 0
 ), n AS (
   SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
-), both AS (
+), common_sets AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  SELECT a, b FROM common_sets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
   WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)
 ), edges AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
