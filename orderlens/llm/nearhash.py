@@ -4,8 +4,11 @@
 100 * intersection >= percent * union, and names each document's component.
 
 1. One pass over the texts makes each set (64-bit hashes of shingles) and its
-   sketch: every hash falls in one of rows * bands buckets; a bucket keeps, of
-   its least hash, the count of leading zeros and ten mantissa bits.
+   sketch of rows * bands registers: every hash falls in one of b buckets, in
+   each of rows * bands / b repeats with other hashes; a bucket keeps, of its
+   least hash, the count of leading zeros and ten mantissa bits. b is chosen by
+   the size of the set (``LEVELS``), or a band of a short text would rest on a
+   single shingle; a set near the border of a level has keys of both.
 2. Equal sets are one class, held by its smallest doc_id.
 3. Classes that share all registers of a band are candidates. A bucket of any
    size emits no all-pairs product: every member meets the bucket's least
@@ -43,26 +46,40 @@ from orderlens.session import materialise, ship_package
 ROWS, BANDS = 7, 54
 MANTISSA = 10
 VALUE_BITS = 40
+LEVELS = (1, 6, 21, 63, 378)
 LEADERS = 32
 SIGMAS = 6.0
 
-_SKETCH = "doc_id long, n_shingles long, set_id binary, registers binary, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, set_id binary, level int, registers binary, bands array<long>"
 
 
 # --- sketches ----------------------------------------------------------------
 
 
-def registers(sets: list[np.ndarray], buckets: int) -> np.ndarray:
-    """HyperMinHash registers of each set: (zeros + 1) << 10 | mantissa, 0 for an empty bucket."""
+def level(n: float, buckets: int) -> int:
+    """Buckets of one repeat for sets of n hashes: the most that hold four hashes each on average."""
+    fit = [b for b in LEVELS if 4 * b <= n and buckets % b == 0]
+    return fit[-1] if fit else 1
+
+
+def registers(sets: list[np.ndarray], levels: list[int], buckets: int) -> np.ndarray:
+    """HyperMinHash registers of each set: (zeros + 1) << 10 | mantissa, 0 for an empty bucket.
+
+    A level of b buckets is repeated buckets / b times with other hashes, so that
+    the registers of small sets are filled as well.
+    """
     none = np.uint64(1 << VALUE_BITS)
     least = np.full((len(sets), buckets), none)
-    for row, s in enumerate(sets):
+    low = U((1 << VALUE_BITS) - 1)
+    for row, (s, b) in enumerate(zip(sets, levels, strict=True)):
         if len(s):
-            bucket = ((s >> U(VALUE_BITS)) * U(buckets)) >> U(64 - VALUE_BITS)
-            keyed = np.sort((bucket << U(VALUE_BITS)) | (s & U((1 << VALUE_BITS) - 1)))
+            repeat = np.arange(buckets // b, dtype=np.uint64)[:, None]
+            h = mix(s[None, :] ^ mix(repeat + U(b << 20)))
+            bucket = (((h >> U(VALUE_BITS)) * U(b)) >> U(64 - VALUE_BITS)) + repeat * U(b)
+            keyed = np.sort(((bucket << U(VALUE_BITS)) | (h & low)).ravel())
             bucket = keyed >> U(VALUE_BITS)
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            least[row, bucket[first].astype(np.int64)] = keyed[first] & U((1 << VALUE_BITS) - 1)
+            least[row, bucket[first].astype(np.int64)] = keyed[first] & low
     bits = np.frexp(least.astype(np.float64))[1].astype(np.uint64)  # bit length
     zeros = U(VALUE_BITS) - np.minimum(bits, U(VALUE_BITS))
     mantissa = ((least << zeros) >> U(VALUE_BITS - 1 - MANTISSA)) & U((1 << MANTISSA) - 1)
@@ -70,30 +87,42 @@ def registers(sets: list[np.ndarray], buckets: int) -> np.ndarray:
     return np.where(least == none, 0, packed).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray, rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(regs: np.ndarray, levels: list[int], rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of each band (documents x bands) and which bands have a register."""
     cut = regs.reshape(len(regs), bands, rows).astype(np.uint64)
-    keys = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(regs), bands)).copy()
+    keys = mix(np.arange(1, bands + 1, dtype=np.uint64)[None, :] + (np.array(levels, np.uint64) << U(20))[:, None])
     for i in range(rows):
         keys = mix(keys * U(0x9E3779B97F4A7C15) + cut[:, :, i])
     return keys, cut.any(axis=2)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], k: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], k: int, percent: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+    m = rows * bands
     for batch in batches:
         for i, j, offsets, data in text_chunks(batch.column("text")):
             sets = list(shingle_sets(data, offsets, k))
-            regs = registers(sets, rows * bands)
-            keys, used = band_keys(regs, rows, bands)
+            own = [level(len(s), m) for s in sets]
+            regs = registers(sets, own, m)
+            keys, used = band_keys(regs, own, rows, bands)
+            each = [row[u] for row, u in zip(keys, used, strict=True)]
+            # A set may be up to 100 / percent times larger and of the next level.
+            reach = [level(len(s) * 100 / percent, m) for s in sets]
+            more = [r for r, (x, y) in enumerate(zip(own, reach, strict=True)) if x != y]
+            if more:
+                levels = [reach[r] for r in more]
+                keys, used = band_keys(registers([sets[r] for r in more], levels, m), levels, rows, bands)
+                for r, row, u in zip(more, keys, used, strict=True):
+                    each[r] = np.concatenate((each[r], row[u]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array(own, pa.int32()),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
-                    list_column(keys[used].view(np.int64), used.sum(axis=1), pa.int64()),
+                    list_column(np.concatenate(each).view(np.int64), np.array([len(x) for x in each]), pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "registers", "bands"],
+                names=["doc_id", "n_shingles", "set_id", "level", "registers", "bands"],
             )
 
 
@@ -115,10 +144,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sketches(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row per document: set size, 128-bit set id, registers and band keys."""
+def sketches(docs: DataFrame, k: int, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row per document: set size, 128-bit set id, registers and their level, band keys."""
     ship_package(docs.sparkSession)
-    return _texts(docs).mapInArrow(partial(_sketch, k=k, rows=rows, bands=bands), _SKETCH)
+    return _texts(docs).mapInArrow(partial(_sketch, k=k, percent=percent, rows=rows, bands=bands), _SKETCH)
 
 
 # --- estimate ----------------------------------------------------------------
@@ -157,6 +186,8 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
         guess, used = jaccard_estimate(a, b, n_a, n_b)
         near = guess + SIGMAS * np.sqrt(t * (1 - t) / used) >= t
+        # Registers of different levels can't be compared; the full sets decide.
+        near |= batch.column("level_a").to_numpy(zero_copy_only=False) != batch.column("level_b").to_numpy(zero_copy_only=False)
         near &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
@@ -164,29 +195,24 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 # --- links and components ----------------------------------------------------
 
 
-def _links(pairs: DataFrame, kept: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def _links(pairs: DataFrame, kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate (a, b), those that the full sets confirm; written."""
-    regs = kept.select("doc_id", "n_shingles", "registers")
-    likely = materialise(
-        pairs.join(regs.toDF("a", "n_a", "regs_a"), "a")
-        .join(regs.toDF("b", "n_b", "regs_b"), "b")
-        .mapInArrow(partial(_likely, percent=percent), "a long, b long"),
-        f"{name}-likely",
+    regs = kept.select("doc_id", "n_shingles", "level", "registers")
+    likely = (
+        pairs.join(regs.toDF("a", "n_a", "level_a", "regs_a"), "a")
+        .join(regs.toDF("b", "n_b", "level_b", "regs_b"), "b")
+        .mapInArrow(partial(_likely, percent=percent), "a long, b long")
     )
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(
-        _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "doc_id long, shingles array<long>"),
-        f"{name}-sets",
-    )
-    both = F.size(F.array_intersect("set_a", "set_b"))
+    likely = materialise(likely, "near-likely")
+    common = F.size(F.array_intersect("set_a", "set_b"))
     return materialise(
         likely.join(sets.toDF("a", "set_a"), "a")
         .join(sets.toDF("b", "set_b"), "b")
-        .withColumn("both", both)
-        .filter(F.col("both") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("both")) * percent)
+        .withColumn("common", common)
+        .filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent)
         .select("a", "b")
         .distinct(),
-        f"{name}-links",
+        "near-links",
     )
 
 
@@ -225,28 +251,46 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: only the components that these links touch are contracted."""
+    of = found.toDF("node", "component")
+    ends = (
+        links.join(of.toDF("a", "ca"), "a", "left")
+        .join(of.toDF("b", "cb"), "b", "left")
+        .select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    )
+    ends = materialise(ends, "near-ends")
+    merged = materialise(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-merged")
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("n")).select("n.*")
+    rows = of.union(new).distinct().join(merged.toDF("component", "root"), "component", "left")
+    return materialise(rows.select("node", F.coalesce("root", "component").alias("component")), "near-components")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, leaders: int = LEADERS
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
-    made = materialise(sketches(docs, k, rows, bands), "near-sketches")
+    made = materialise(sketches(docs, k, percent, rows, bands), "near-sketches")
     classes = materialise(
         made.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id")),
         "near-classes",
     )
-    kept = materialise(
-        made.join(classes, "set_id").filter("doc_id = class_id").select("doc_id", "n_shingles", "registers", "bands"),
-        "near-kept",
-    )
-    exploded = kept.select(F.explode("bands").alias("key"), "doc_id")
+    kept = made.join(classes, "set_id").filter("doc_id = class_id").select("doc_id", "n_shingles", "level", "registers", "bands")
+    exploded = materialise(kept.select(F.explode("bands").alias("key"), "doc_id"), "near-bands")
     shared = exploded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last")
     active = materialise(exploded.join(shared.select("key", "lead"), "key"), "near-buckets")
-
+    # Only classes in a shared bucket are ever compared: their registers and full sets, once.
+    met = materialise(active.select("doc_id").distinct(), "near-met")
+    kept = materialise(
+        made.join(met, "doc_id", "left_semi").select("doc_id", "n_shingles", "level", "registers"), "near-registers"
+    )
+    sets = materialise(
+        _texts(docs).join(met, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "doc_id long, shingles array<long>"),
+        "near-sets",
+    )
     pairs = active.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(pairs, kept, docs, k, percent, "near-0")
-    found = materialise(components(links), "near-components")
+    found = materialise(components(_links(pairs, kept, sets, percent)), "near-components")
     active = active.filter("doc_id != lead").select("key", "doc_id")
-    step = 0
     while True:
         named = active.join(found.toDF("doc_id", "component"), "doc_id", "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
@@ -255,7 +299,6 @@ def near_duplicates(
         active = materialise(named.join(open_keys.select("key"), "key"), "near-open")
         if active.isEmpty():
             break
-        step += 1
         by_key = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
         lead = materialise(
             active.withColumn("r", F.row_number().over(by_key))
@@ -269,8 +312,9 @@ def near_duplicates(
             .select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
             .distinct()
         )
-        links = links.union(_links(pairs, kept, docs, k, percent, f"near-{step}"))
-        found = materialise(components(links), "near-components")
+        links = _links(pairs, kept, sets, percent)
+        if not links.isEmpty():
+            found = _joined(found, links)
         active = active.join(lead.select("key", F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti").select(
             "key", "doc_id"
         )
