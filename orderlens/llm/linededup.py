@@ -25,14 +25,16 @@ Other columns are kept. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.text import U, mix
+from orderlens.llm.text import LOWER, SPACE, U, mix, range_hashes, text_chunks
 from orderlens.session import materialise, ship_package
 
 MIN_POINTS = 10
@@ -42,9 +44,6 @@ SLOTS = 4
 LOAD = 0.8
 KICKS = 500
 
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 _FILTER = "kind string, shard int, layer int, buckets int, used int, slots binary"
 
 
@@ -177,17 +176,52 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashed(lines: Column, min_points: int) -> Column:
-    """(h1, h2) of each line; NULL for keys that are too short."""
-
-    def of(line: Column) -> Column:
-        key = F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
-        return F.when(
-            F.char_length(key) >= min_points,
-            F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")),
-        )
-
-    return F.transform(lines, of)
+def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, number in the document, both hashes and code points of every line's key."""
+    borders = np.zeros(len(data) + 1, np.int64)
+    breaks = np.flatnonzero(data == 0x0A)
+    start = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
+    end = np.sort(np.concatenate((offsets[1:], breaks)), kind="stable")
+    sizes = np.concatenate(([0], np.cumsum(data == 0x0A)))
+    count = sizes[offsets[1:]] - sizes[offsets[:-1]] + 1
+    doc = np.repeat(np.arange(len(count)), count)
+    pos = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
+    solid = np.flatnonzero(~SPACE[data])
+    first, last = np.searchsorted(solid, start), np.searchsorted(solid, end) - 1
+    some = last >= first
+    s = np.where(some, solid[np.minimum(first, len(solid) - 1)] if len(solid) else 0, start)
+    e = np.where(some, solid[np.maximum(last, 0)] + 1 if len(solid) else 0, s)
+    borders[1:] = np.cumsum((data & 0xC0) != 0x80)
+    lower = LOWER[data]
+    return doc, pos, range_hashes(lower, s, e), range_hashes(lower, s, e, 1), borders[e] - borders[s]
+
+
+def _lines(batches: Iterator[pa.RecordBatch], min_points: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, offsets, data in text_chunks(batch.column("text")):
+            doc, pos, h1, h2, points = line_keys(data, offsets)
+            keep = points >= min_points
+            rows = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(i, j - i).take(rows),
+                    batch.column("text_hash").slice(i, j - i).take(rows),
+                    pa.array(pos[keep].astype(np.int32)),
+                    pa.array(h1[keep].view(np.int64)),
+                    pa.array(h2[keep].view(np.int64)),
+                ],
+                names=["doc_id", "text_hash", "pos", "h1", "h2"],
+            )
+
+
+def lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """(doc_id, text_hash, pos, h1, h2): every line whose key is long enough; written."""
+    ship_package(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return materialise(
+        rows.mapInArrow(partial(_lines, min_points=min_points), "doc_id long, text_hash long, pos int, h1 long, h2 long"), "line-rows"
+    )
 
 
 @dataclass(frozen=True)
@@ -204,28 +238,17 @@ def _shard(state_shards: int) -> Column:
     return F.pmod(F.col("h2"), F.lit(state_shards)).cast("int")
 
 
-def references(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """(h1, h2, doc_id): every key once per row of ``docs``."""
-    keys = F.array_distinct(F.filter(_hashed(lines_of(F.col("text").cast("string")), min_points), lambda k: k.isNotNull()))
-    return (
-        docs.filter("doc_id is not null")
-        .select(F.explode(keys).alias("k"), F.col("doc_id").cast("long").alias("doc_id"))
-        .select("k.h1", "k.h2", "doc_id")
-    )
-
-
 def _counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def empty_state(docs: DataFrame, min_points: int = MIN_POINTS) -> LineState:
-    """No documents yet; the number of shards is set by the lines expected (those of ``docs``)."""
-    spark = docs.sparkSession
-    lines = docs.select(F.sum(F.size(lines_of(F.col("text").cast("string"))))).first()[0] or 0
+def empty_state(rows: DataFrame, min_points: int = MIN_POINTS) -> LineState:
+    """No documents yet; the number of shards follows the lines expected (``rows``)."""
+    spark = rows.sparkSession
     return LineState(
         spark.createDataFrame([], "h1 long, h2 long, doc_id long"),
         spark.createDataFrame([], _FILTER),
-        max(1, -(-int(lines) // SHARD_KEYS)),
+        max(1, -(-rows.count() // SHARD_KEYS)),
         min_points,
     )
 
@@ -257,9 +280,9 @@ def probe(state: LineState, rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def add(state: LineState, docs: DataFrame) -> LineState:
-    """The state with these documents; references it has already are not counted twice."""
-    new = materialise(references(docs, state.min_points), "line-new")
+def add(state: LineState, rows: DataFrame) -> LineState:
+    """The state with the documents of these ``lines``; references it has already are not counted twice."""
+    new = rows.select("h1", "h2", "doc_id")
     keys = new.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     if state.filters.isEmpty():
         fresh = known = materialise(keys.withColumns({"old_first": F.lit(None).cast("long"), "old_last": F.lit(None).cast("long")}), "line-keys")
@@ -280,7 +303,8 @@ def add(state: LineState, docs: DataFrame) -> LineState:
     put = fresh.select(F.lit("held").alias("kind"), shard.alias("shard"), "h1").union(
         shared.select(F.lit("shared").alias("kind"), shard.alias("shard"), "h1")
     )
-    refs = new if state.filters.isEmpty() else materialise(state.refs.union(new).distinct(), "line-refs")
+    refs = state.refs.union(new)
+    refs = new if state.filters.isEmpty() else materialise(refs.distinct(), "line-refs")
     return LineState(refs, materialise(_changed(state.filters, put, _insert), "line-filters"), state.shards, state.min_points)
 
 
@@ -301,20 +325,13 @@ def remove(state: LineState, doc_ids: DataFrame) -> LineState:
     return LineState(left, materialise(_changed(state.filters, out, _delete), "line-filters"), state.shards, state.min_points)
 
 
-def clean(state: LineState, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``; kept lines stay in order."""
-    text = F.col("text").cast("string")
+def clean(state: LineState, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``; kept lines stay in order.
+
+    ``rows`` are the ``lines`` of ``docs``.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = lines_of(text)
-    rows = (
-        docs.filter("doc_id is not null")
-        .select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.xxhash64(text).alias("text_hash"),
-            F.posexplode(_hashed(lines, state.min_points)).alias("pos", "k"),
-        )
-        .filter("k is not null")
-        .select("doc_id", "text_hash", "pos", "k.h1", "k.h2")
-    )
     maybe = probe(state, rows, "shared").filter("maybe")
     shared = _counts(state.refs).filter("first_doc < last_doc").select("h1", "h2", "first_doc")
     dropped = (
@@ -331,7 +348,7 @@ def clean(state: LineState, docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("__dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept_text"),
+        F.when(F.col("__dropped").isNull(), text).otherwise(kept).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
@@ -339,4 +356,5 @@ def clean(state: LineState, docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """All documents added to an empty state, then cleaned with it."""
-    return clean(add(empty_state(docs, min_points), docs), docs)
+    rows = lines(docs, min_points)
+    return clean(add(empty_state(rows, min_points), rows), docs, rows)

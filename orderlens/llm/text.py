@@ -20,6 +20,7 @@ _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _STEP = U(0xD6E8FEB86659FD93)
+_BYTES = (_BYTE, _SEED.integers(1, 1 << 63, 256, dtype=np.uint64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,11 +77,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end]; equal bytes give equal hashes."""
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each data[start:end]; equal bytes give equal hashes. Lane 1 is another hash."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_BYTES[lane][data] * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
 
@@ -137,6 +138,5 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
 
 
 def words_of(text: Column) -> Column:
-    """The same words as an array column, on the JVM; NULL and empty texts have none."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Lower-cased words as an array column, on the JVM; NULL and empty texts have none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
