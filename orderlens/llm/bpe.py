@@ -344,12 +344,12 @@ def _numbered(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(str(n), f.dataType) for n, f in enumerate(schema.fields)])
 
 
-def digests(df: DataFrame, ranks: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, through encode and decode."""
-    coded = decode(encode(df.select("doc_id", "text"), ranks), ranks)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+def with_digests(coded: DataFrame) -> DataFrame:
+    """``coded`` with n_tokens, ids_sha256 and decoded_sha256."""
+    return coded.withColumns(
+        {
+            "n_tokens": F.size("ids").cast("long"),
+            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
+            "decoded_sha256": F.sha2(F.col("decoded"), 256),
+        }
     )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, imatch, langid, linededup, nearhash, warc
+from orderlens.llm import bpe, chaining, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, warc
 from orderlens.session import shared_dir
 
 
@@ -25,6 +25,20 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return quality.judge(docs, labels, F.col("source"), quality.source_path())
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return mixing.mix_documents(docs, labels, {"good": 0.93, "toxic": 0.02, "poor": 0.05}).drop("text_hash")
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85).select(
         "doc_id", "n_shingles", "component_id", "kept"
@@ -39,23 +53,32 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(_read(spark, sf_dir, "documents"), ranks)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.with_digests(bpe.decode(bpe.encode(docs, ranks), ranks)).drop("ids", "decoded")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_quality": op2_quality,
+    "op3_mixing": op3_mixing,
+    "op4_passages": op4_passages,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_nearest": op9_nearest,
     "op10_imatch": op10_imatch,
 }
 
