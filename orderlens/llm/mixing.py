@@ -31,6 +31,7 @@ DOMAINS = ("good", "toxic", "poor")
 TRAIN_ROWS = 10_000
 SLOTS = 1 << 13
 CHANCE = 60.0  # chi-square of a term that has weight
+PSEUDO = 2.0
 STEPS = 30
 
 
@@ -102,8 +103,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     for slot, t in heavy.collect():  # at most SLOTS rows
         by_slot[slot] = t["term"]
         for d, name in enumerate(DOMAINS):
-            rate, usual = (t[name] + 0.5) / (sizes[d] + 1), (t["n"] + 0.5) / (total + 1)
-            weights[d][slot] = round(float(np.clip(np.log(rate / usual), -4, 4)), 3)
+            # PSEUDO further documents, dealt as the domains are, pull a term's shares to the usual ones.
+            share = max(sizes[d] / total, 1e-9)
+            odds = (t[name] + PSEUDO * share) / ((t["n"] + PSEUDO) * share)
+            weights[d][slot] = round(float(np.clip(np.log(odds), -4, 4)), 3)
     prior = [float(np.log((size + 1) / (total + len(DOMAINS)))) for size in sizes]
     return Classifier(prior, by_slot, weights)
 
