@@ -72,6 +72,7 @@ class Classifier:
     prior: list[float]
     terms: list[int]
     weights: list[list[float]]
+    scale: float = 1.0
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
@@ -107,16 +108,34 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
             share = max(sizes[d] / total, 1e-9)
             odds = (t[name] + PSEUDO * share) / ((t["n"] + PSEUDO) * share)
             weights[d][slot] = round(float(np.clip(np.log(odds), -4, 4)), 3)
-    prior = [float(np.log((size + 1) / (total + len(DOMAINS)))) for size in sizes]
-    return Classifier(prior, by_slot, weights)
+    raw = Classifier([0.0] * len(DOMAINS), by_slot, weights)
+    seen = _scores(learnt.select("domain", "text"), raw).select("domain", *[f"__s_{n}" for n in DOMAINS]).collect()  # at most about ``rows``
+    return calibrated(raw, np.array([r[1:] for r in seen], float).reshape(-1, len(DOMAINS)), [DOMAINS.index(r[0]) for r in seen])
 
 
-def _sum_of(slots: str, table: Column, start: float) -> Column:
-    return F.aggregate(slots, F.lit(start), lambda total, s: total + F.get(table, s))
+def calibrated(model: Classifier, sums: np.ndarray, domain: list[int], steps: int = 2000) -> Classifier:
+    """Scale and priors that make the posteriors of the learning rows fit: words of a text are not independent."""
+    size = len(DOMAINS)
+    if not len(sums):
+        return Classifier([float(-np.log(size))] * size, model.terms, model.weights)
+    sure = np.eye(size)[domain]
+    prior, scale = np.log((sure.sum(axis=0) + 1) / (len(sums) + size)), 0.5
+    spread = max(float((sums**2).mean()), 1e-9)
+    for _ in range(steps):
+        z = prior + scale * sums
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        off = p / p.sum(axis=1, keepdims=True) - sure
+        prior = prior - off.mean(axis=0)
+        scale = max(0.0, scale - 0.3 * float((off * sums).sum(axis=1).mean()) / spread)
+    return Classifier([round(float(v), 6) for v in prior], model.terms, model.weights, round(scale, 6))
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with tokens and p_{domain}."""
+def _sum_of(slots: str, table: Column) -> Column:
+    return F.aggregate(slots, F.lit(0.0), lambda total, s: total + F.get(table, s))
+
+
+def _scores(docs: DataFrame, model: Classifier) -> DataFrame:
+    """``docs`` with tokens and the logarithm __s_{domain} of what each posterior is proportional to."""
     out = docs.withColumn("__words", words_of(F.col("text").cast("string")))
     out = out.withColumn("tokens", F.size("__words").cast("long"))
     terms = _table(model.terms, "bigint")
@@ -124,10 +143,15 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     kept = F.filter("__terms", lambda t: F.get(terms, _slot(t)) == t)
     out = out.withColumn("__slots", F.transform(kept, _slot)).drop("__terms")
     sums = {
-        f"__s_{name}": _sum_of("__slots", _table(model.weights[d], "double"), model.prior[d])
+        f"__s_{name}": F.lit(model.prior[d]) + F.lit(model.scale) * _sum_of("__slots", _table(model.weights[d], "double"))
         for d, name in enumerate(DOMAINS)
     }
-    out = out.withColumns(sums).drop("__slots")
+    return out.withColumns(sums).drop("__slots")
+
+
+def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
+    """``docs`` with tokens and p_{domain}."""
+    out = _scores(docs, model)
     most = F.greatest(*[F.col(f"__s_{n}") for n in DOMAINS])
     out = out.withColumns({f"__e_{n}": F.exp(F.col(f"__s_{n}") - most) for n in DOMAINS})
     total = sum(F.col(f"__e_{n}") for n in DOMAINS)
