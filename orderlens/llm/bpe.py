@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from orderlens.llm.text import list_column, range_hashes, text_chunks
+from orderlens.llm.text import chunks, list_column, range_hashes, text_chunks
 from orderlens.session import ship_package
 
-REMEMBERED = 2_000_000  # pieces a worker remembers, some 30 bytes each
+DECODED = 1 << 19  # ids decoded at once
+REMEMBERED = 600_000  # pieces a worker remembers, some 30 bytes each
 LETTER, NUMBER, OTHER, BLANK = range(4)
 # The endings that the public pattern cuts off behind an apostrophe.
 ENDINGS_1 = "stmd"
@@ -306,15 +307,22 @@ def _decode(batches: Iterator[pa.RecordBatch], ranks: bytes, ids: int) -> Iterat
     vocabulary = _vocabulary(ranks)
     size = 1 + max(vocabulary.token)
     tokens = [vocabulary.token.get(i, b"") for i in range(size)]
+    flat, length = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+    begin = np.cumsum(length) - length
     for batch in batches:
         lists = batch.column(ids)
-        flat, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
-        ends = (ends - ends[0]).tolist()
-        out = [b"".join([tokens[t] for t in flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        columns = list(batch.columns)
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(out, pa.binary())], names=[str(n) for n in range(len(columns) + 1)]
-        )
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        for i, j in chunks(ends, DECODED):
+            these = np.frombuffer(lists.values.buffers()[1], np.int32)[lists.values.offset :][ends[i] : ends[j]]
+            known = (these >= 0) & (these < size)
+            each = np.where(known, length[np.where(known, these, 0)], 0)
+            stops = np.concatenate(([0], np.cumsum(each)))
+            places = np.arange(stops[-1]) + np.repeat(begin[np.where(known, these, 0)] - stops[:-1], each)
+            raw = flat[places]
+            borders = stops[ends[i : j + 1] - ends[i]].astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(borders), pa.py_buffer(raw)])
+            columns = [c.slice(i, j - i) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, out], names=[str(n) for n in range(len(columns) + 1)])
 
 
 def encode(df: DataFrame, ranks: bytes, text: str = "text", into: str = "ids") -> DataFrame:

@@ -70,7 +70,7 @@ def records_of(df: DataFrame, record_id: str, url: str, payload: str) -> DataFra
 def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``records`` with record_type and refers_to (the response's id and URL for revisits)."""
     first = (
-        records.filter(F.col("payload_bytes") >= min_bytes)
+        records.filter((F.col("payload_bytes") >= min_bytes) & F.col("record_id").isNotNull())
         .groupBy("payload_digest", "payload_bytes")
         .agg(F.min(F.struct("record_id", "target_uri")).alias("first"), F.max("record_id").alias("last"))
         .filter(F.col("last") > F.col("first.record_id"))
