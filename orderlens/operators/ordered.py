@@ -67,7 +67,12 @@ class OrderedGroups:
 
         Rows of one (group, within) must be contiguous in the order.
         """
-        return self._running(F.sum, value, [within], name, lambda own, before: own + F.coalesce(before, F.lit(0.0)))
+
+        def joined(own: Column, before: Column) -> Column:
+            # NULL only while every row so far is NULL, as in an uncut window.
+            return F.when(own.isNull(), before).otherwise(own + F.coalesce(before, F.lit(0.0)))
+
+        return self._running(F.sum, value, [within], name, joined)
 
     def running_max(self, value: str, name: str) -> OrderedGroups:
         """Largest ``value`` of the group up to the row."""

@@ -15,7 +15,6 @@ from orderlens.operators.features import FEATURES
 # Bands, labels and sizes of the published report.
 EXPECTED_RATE = 0.065
 LIVE_SECONDS = 60
-KEPT_FLAGS = 20_000
 REASON_TYPES = {
     "price_deviation_from_supplier_category_avg": "price",
     "delivery_delay_deviation": "delivery",

@@ -114,12 +114,12 @@ def _plus(schema: T.StructType, *names: str) -> T.StructType:
 
 
 def frozen_zscores(orders: DataFrame, stats: DataFrame) -> DataFrame:
-    """Delay and discount-rate z-scores against frozen statistics; 0 for an unknown category."""
+    """Delay and discount-rate z-scores against frozen statistics; 0 for an unknown category or value."""
     joined = join_groups(delivery_delay(orders), stats, CATEGORY)
     return joined.withColumns(
         {
-            "delivery_delay_deviation": zscore("delivery_delay_days", "delay_mean", "delay_std"),
-            "discount_rate_anomaly": zscore("discount_rate", "discount_mean", "discount_std"),
+            "delivery_delay_deviation": F.coalesce(zscore("delivery_delay_days", "delay_mean", "delay_std"), F.lit(0.0)),
+            "discount_rate_anomaly": F.coalesce(zscore("discount_rate", "discount_mean", "discount_std"), F.lit(0.0)),
         }
     ).drop("delay_mean", "delay_std", "discount_mean", "discount_std")
 
