@@ -209,6 +209,26 @@ def test_knn_with_few_points_and_far_queries(spark):
     assert np.allclose(got[:, 2], brute_lof(x, got[:, :2], 5, False))
 
 
+def test_lof_does_not_depend_on_partitioning(spark):
+    rows = [(float(i % 15), float(i // 15)) for i in range(225)] + [(float(i), -20.0 - i) for i in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    runs = []
+    for parts in (1, 7):
+        train = df.repartition(parts)
+        model = fit_lof(train, ["a", "b"], k=6, leaf_rows=32)
+        runs.append((model.threshold, sorted(map(tuple, score_lof(model, train).collect()))))
+    assert runs[0] == runs[1]
+
+
+def test_lof_returns_every_row(spark):
+    train = spark.createDataFrame([(float(i), float(i % 3)) for i in range(40)], "a double, b double")
+    bad = [(None, 1.0), (float("nan"), 1.0), (1.0, float("inf"))]
+    model = fit_lof(train.union(spark.createDataFrame(bad, "a double, b double")), ["a", "b"], k=5)
+    assert model.threshold == fit_lof(train, ["a", "b"], k=5).threshold
+    got = score_lof(model, spark.createDataFrame([*bad, (3.0, 0.0), (3.0, 0.0)], "a double, b double")).collect()
+    assert len(got) == 5 and sum(r["score"] is None for r in got) == 3
+
+
 def test_tree_keeps_equal_values_together():
     x = np.zeros((1000, 2))
     x[:700, 1] = np.arange(700)
@@ -223,6 +243,10 @@ def test_forest_samples_and_scores(spark, scaled):
     train = materialise(rows.filter("split = 'train'").select("order_item_id", *SCALED), "if_train")
     drawn = tree_samples(train, SCALED, "order_item_id", 12, 256, 42).groupBy("tree").count().collect()
     assert [r["count"] for r in drawn] == [256] * 12
+    again = tree_samples(train.repartition(3), SCALED, "order_item_id", 12, 256, 42)
+    assert again.exceptAll(tree_samples(train, SCALED, "order_item_id", 12, 256, 42)).count() == 0
+    few = tree_samples(train.limit(300), SCALED, "order_item_id", 4, 256, 42).groupBy("tree").count().collect()
+    assert [r["count"] for r in few] == [256] * 4
     model = fit_forest(train, trees=50)
     far = train.limit(1).select("order_item_id", *[F.lit(60.0).alias(c) for c in SCALED])
     got = score_forest(model, train.limit(200).unionByName(far)).toPandas()
