@@ -37,9 +37,9 @@ from orderlens.session import materialise, ship_package
 
 DEGREE = 24
 REVERSE = 24
-ROUNDS = 5
-BLOCK = 256
-TREES = 4
+ROUNDS = 8
+BLOCK = 2048
+TREES = 10
 BEAM = 96
 OPEN = 32
 EXACT = 24
@@ -196,7 +196,7 @@ def build_graph(codes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     return graph
 
 
-def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _step(batches: Iterator[pa.RecordBatch], beam: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """Take the newly seen nodes in and choose the next ones to open."""
     kinds = [pa.int64(), pa.binary(), *[pa.list_(t) for t in (pa.int64(), pa.float32(), pa.bool_(), pa.int64(), pa.int64())]]
     names = ["query", "code", "ids", "sims", "opened", "seen", "todo"]
@@ -215,15 +215,15 @@ def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sims = np.concatenate((sims, x @ _units([r["code"]])[0]))
                 opened = np.concatenate((opened, np.zeros(len(fresh), bool)))
                 seen = np.concatenate((seen, new[fresh]))
-            best = np.lexsort((ids, -sims))[:BEAM]
+            best = np.lexsort((ids, -sims))[:beam]
             ids, sims, opened = ids[best], sims[best], opened[best]
-            todo = ids[~opened][:OPEN]
+            todo = ids[~opened][:at_once]
             rows.append((r["query"], r["code"], ids.tolist(), sims.tolist(), opened.tolist(), seen.tolist(), todo.tolist()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def search(codes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
+def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, at_once: int = OPEN) -> DataFrame:
     """(query, near): the best nodes that each query node finds, itself among them."""
     by = Window.partitionBy("node").orderBy(F.desc("sim"), "near")
     back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim")
@@ -245,7 +245,7 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
             break
         met = front.join(links, "node").select("query", F.explode("nears").alias("near")).distinct()
         met = met.join(known, "near").groupBy("query").agg(F.collect_list(F.struct("near", "code")).alias("met"))
-        state = materialise(state.join(met, "query", "left").mapInArrow(_step, shape), "ann-state")
+        state = materialise(state.join(met, "query", "left").mapInArrow(partial(_step, beam=beam, at_once=at_once), shape), "ann-state")
     return state.select("query", F.explode(F.slice("ids", 1, EXACT)).alias("near"))
 
 
