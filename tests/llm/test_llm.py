@@ -185,6 +185,35 @@ def test_passages(docs):
     assert chaining.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_behind_pieces(spark):
+    """Every shared run of 50 words is linked, though smaller documents hold pieces of it."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for case in range(12):
+        whole = sentence(100 + case, 60 + int(rng.integers(0, 60))).split()
+        n, doc = len(whole), case * 100
+        for i in range(4):  # pieces of under 50 words, which together hold every seed
+            at = int(rng.integers(0, n - 45)) if i > 1 else (0 if i == 0 else n - 45)
+            texts[doc + i] = [*sentence(1000 + doc + i, 30).split(), *whole[at : at + 45], *sentence(2000 + doc + i, 9).split()]
+        texts[doc + 10] = [*sentence(3000 + doc, 12).split(), *whole]
+        texts[doc + 20] = [*whole, *sentence(4000 + doc, 12).split()]
+        texts[doc + 30] = whole[:52]
+    texts[5000], texts[5001] = ["x"] * 300, ["y", *["x"] * 120, "z", *["x"] * 60]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+    rows = chaining.repeated_passages(table).collect()
+    runs = {}
+    for d, words in texts.items():
+        for i in range(len(words) - 49):
+            runs.setdefault(tuple(words[i : i + 50]), []).append((d, i))
+    shared = [h for h in runs.values() if len({d for d, _ in h}) > 1]
+    assert shared
+    for holders in shared:
+        first = min(d for d, _ in holders)
+        for d, i in holders:
+            assert d == first or any(r.doc_a == first and r.doc_b == d and r.start_b <= i and i + 50 <= r.end_b for r in rows), (first, d, i)
+    assert all(r.equal_words >= 0.8 * max(r.end_a - r.start_a, r.end_b - r.start_b) for r in rows)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)
