@@ -2,9 +2,9 @@
 
 The lexicon holds the terms found in between ``LOW`` and ``HIGH`` of all
 documents, counted over all of them. At most (mean terms a document) / LOW terms
-can be that frequent; of these one a slot is kept (the least hash), so the table is
-``SLOTS`` numbers at any size of the corpus and travels inside the plan. A text's
-distinct lexicon terms are sorted and hashed as a whole and once for each of
+can be that frequent, at any size of the corpus. Up to ``IN_PLAN`` of them travel
+inside the plan as buckets by hash; a larger lexicon stays a table and is joined with
+the terms of the texts, with equal results. A text's distinct lexicon terms are sorted and hashed as a whole and once for each of
 ``SUBSETS`` random parts of the lexicon (a term is in one part of eight). Texts are
 alike by the share of parts whose hashes agree, counting parts in which either has
 a term; texts with equal whole hashes are alike by 1. All of it is built-in
@@ -20,6 +20,9 @@ text. Further columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +30,7 @@ from orderlens.llm.text import words_of
 from orderlens.session import materialise
 
 LOW, HIGH = 0.0005, 0.02
-SLOTS = 1 << 14
+IN_PLAN = 1 << 18  # most terms of a lexicon that is sent inside the plan
 SUBSETS = 16
 SPAN = 4096  # ids of a window
 
@@ -37,27 +40,40 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words_of(text), lambda w: F.xxhash64(w)))
 
 
-def _slot(term: Column) -> Column:
-    return F.pmod(term, F.lit(SLOTS)).cast("int")
-
-
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """The table of terms by slot, as a constant array; 0 where a slot is empty."""
+def band(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term): every term of the lexicon."""
     counted = (
         docs.select(F.explode(term_hashes(F.col("text").cast("string"))).alias("term"))
         .groupBy("term")
         .count()
     )
     n = docs.count()
-    kept = (
-        counted.filter((F.col("count") >= low * n) & (F.col("count") <= high * n) & (F.col("count") > 1))
-        .groupBy(_slot(F.col("term")).alias("slot"))
-        .agg(F.min("term").alias("term"))
-    )
-    table = [0] * SLOTS
-    for slot, term in kept.collect():  # at most SLOTS rows
-        table[slot] = term
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    kept = counted.filter((F.col("count") >= low * n) & (F.col("count") <= high * n) & (F.col("count") > 1))
+    return materialise(kept.select("term"), "lexicon")
+
+
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, in_plan: int = IN_PLAN) -> Callable[[DataFrame], DataFrame]:
+    """What adds __banded, the lexicon terms of __every in any order, to a table."""
+    terms = band(docs, low, high)
+    n = terms.count()
+    if n > in_plan:
+        return lambda df: _joined(df, terms)
+    slots = 1 << n.bit_length()
+    buckets: list[list[int]] = [[] for _ in range(slots)]
+    for (term,) in terms.collect():  # at most in_plan rows
+        buckets[term % slots].append(term)
+    table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+    inside = lambda t: F.array_contains(F.get(table, F.pmod(t, F.lit(slots)).cast("int")), t)
+    return lambda df: df.withColumn("__banded", F.filter("__every", inside))
+
+
+def _joined(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows are numbered and written, so that the numbers stay."""
+    rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "imatch-rows")
+    found = rows.select("__row", F.explode("__every").alias("term")).join(terms, "term")
+    found = found.groupBy("__row").agg(F.collect_list("term").alias("__banded"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(found, "__row", "left").withColumn("__banded", F.coalesce("__banded", none)).drop("__row")
 
 
 def _digest(terms: Column) -> Column:
@@ -71,12 +87,10 @@ def _part(terms: Column, i: int) -> Column:
     return F.filter(terms, lambda t: F.shiftrightunsigned(t, 16 + 3 * i).bitwiseAND(7) == 0)
 
 
-def with_fingerprint(df: DataFrame, text: str, table: Column, prefix: str = "") -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, banded: Callable[[DataFrame], DataFrame], prefix: str = "") -> DataFrame:
     """``df`` with {prefix}parts (array) and {prefix}fingerprint (text) of column ``text``."""
     every = term_hashes(F.col(text))
-    out = df.withColumn("__every", every)
-    banded = F.filter(F.col("__every"), lambda t: F.get(table, _slot(t)) == t)
-    out = out.withColumn("__banded", banded)
+    out = banded(df.withColumn("__every", every))
     out = out.withColumn("terms", F.sort_array(F.when(F.size("__banded") > 0, F.col("__banded")).otherwise(F.col("__every"))))
     terms = F.col("terms")
     parts = F.array(*[_digest(_part(terms, i)) for i in range(SUBSETS)])
@@ -148,11 +162,11 @@ def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
     return led.unionByName(lost).select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in payload])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, in_plan: int = IN_PLAN) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = lexicon(base)
-    made = with_next(with_fingerprint(base, "text", table), ["text", "parts", "fingerprint"])
+    banded = lexicon(base, in_plan=in_plan)
+    made = with_next(with_fingerprint(base, "text", banded), ["text", "parts", "fingerprint"])
     n = F.char_length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(
@@ -168,7 +182,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.coalesce("next_parts", F.array_repeat(F.lit("-"), SUBSETS)).alias("next_parts"),
         F.coalesce("next_fingerprint", F.lit(":".join(["-"] * (SUBSETS + 1)))).alias("next_fingerprint"),
     )
-    made = with_fingerprint(made, "edited", table, "edited_")
+    made = with_fingerprint(made, "edited", banded, "edited_")
     return made.select(
         "doc_id",
         "n_chars",

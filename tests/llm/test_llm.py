@@ -141,6 +141,25 @@ def test_imatch(docs):
     assert imatch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_imatch_whole_lexicon(spark):
+    """Every term of the band counts, in the plan or joined: 30,000 of them, each in two of 150 documents."""
+    rows = [(d, " ".join(f"t{i}" for h in (d // 2, 75 + (d + 1) // 2 % 75) for i in range(h * 200, h * 200 + 200))) for d in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {w for _, t in rows for w in t.split()}
+    assert len(terms) == 30_000 and imatch.band(table).count() == 30_000
+    every = table.withColumn("__every", imatch.term_hashes(F.col("text")))
+    kept = imatch.lexicon(table)(every).select(F.size("__banded").alias("n"), F.size("__every").alias("m")).collect()
+    assert all(r.n == r.m == 400 for r in kept)
+    made = {r.doc_id: r for r in imatch.fingerprints(table).collect()}
+    assert made == {r.doc_id: r for r in imatch.fingerprints(table, in_plan=0).collect()}
+    # One term less changes the fingerprint, whichever term it is.
+    less = [(d, t.rsplit(" ", 1)[0]) for d, t in rows]
+    banded = imatch.lexicon(table)
+    show = lambda df: {r.doc_id: r.fingerprint for r in imatch.with_fingerprint(df, "text", banded).collect()}
+    whole, cut = show(table), show(spark.createDataFrame(less, "doc_id long, text string"))
+    assert all(whole[d] != cut[d] for d in whole)
+
+
 def test_language(docs):
     rows = langid.identify(docs).collect()
     assert len(rows) == docs.count()
