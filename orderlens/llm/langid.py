@@ -10,9 +10,10 @@ the share of the best language if eight characters were judged. ``rejected`` is
 set where the cross-entropy is above what the learning texts of that language show
 (mean + ``SIGMAS`` standard deviations).
 
-The model is bounded: at most ``MAX_GRAMS`` 4-grams are kept, the most frequent
-first, so it can be broadcast; counting covers all texts. Code points beyond
-16 bits are folded to 16.
+The model holds every 4-gram of every language, so discounts, totals and numbers of
+neighbours are those of all learning texts. It is made on the driver and broadcast;
+both grow with the distinct grams (times the languages), not with the texts. Code
+points beyond 16 bits are folded to 16.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0. With
 nothing to learn from everything is ``und``. A NULL lang is not learnt from; lang,
@@ -33,7 +34,7 @@ from orderlens.llm.text import U, mix
 from orderlens.session import materialise, ship_package
 
 ORDER = 4
-MAX_GRAMS = 1 << 20
+HELD = 1 << 20  # distinct grams a counting task holds before it hands them on
 SIGMAS = 4.0
 JUDGED = 8
 SLICE = 1 << 20  # code points handled at once
@@ -116,10 +117,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 distinct, c = np.unique(g[langs[of] == lang], return_counts=True)
                 held.setdefault(lang, []).append((distinct, c.astype(np.int64)))
                 size += len(distinct)
-            if size > 2 * MAX_GRAMS:
+            if size > 2 * HELD:
                 held = {k: [_merged(v)] for k, v in held.items()}
                 size = sum(len(v[0][0]) for v in held.values())
-                if size > MAX_GRAMS:
+                if size > HELD:
                     yield from out()
                     held, size = {}, 0
     yield from out()
@@ -207,19 +208,21 @@ class Models:
         return out
 
 
-def fit(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Models | None:
+def fit(counts: DataFrame) -> Models | None:
     """Models from counted grams; None if there are none."""
-    top = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    if top.empty:
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(top["lang"].unique())
-    alphabet = len(np.unique(top["gram"].to_numpy().view(np.uint64) & U(0xFFFF))) + 1
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+    every = counts.select(number.alias("lang"), "gram", "n").toArrow()
+    of, gram, n = (every.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    gram = gram.view(np.uint64)
+    alphabet = len(np.unique(gram & U(0xFFFF))) + 1
     single = []
-    for lang in langs:
-        part = top[top["lang"] == lang].sort_values("gram")
-        gram, n = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
-        order = np.argsort(gram)
-        single.append(_Single(gram[order], n[order], alphabet))
+    for i in range(1, len(langs) + 1):
+        own = np.flatnonzero(of == i)
+        own = own[np.argsort(gram[own])]
+        single.append(_Single(gram[own], n[own], alphabet))
     models = Models(langs, float(-np.log2(alphabet)))
 
     def table(keys: list[np.ndarray], of) -> tuple[np.ndarray, np.ndarray]:
@@ -280,14 +283,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """Learn from the documents not held out, predict all of them.
 
     doc_id, held_out, lang_pred, score, cross_entropy, rejected.
     """
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     counts = materialise(count_grams(docs.filter("not held_out").select("text", "lang")), "lang-grams")
-    said = materialise(predict(docs, fit(counts, max_grams), ["doc_id", "held_out"]), "lang-said")
+    said = materialise(predict(docs, fit(counts), ["doc_id", "held_out"]), "lang-said")
     usual = said.filter("not held_out and lang_pred != 'und'").groupBy("lang_pred").agg(
         (F.avg("cross_entropy") + F.lit(SIGMAS) * F.coalesce(F.stddev_pop("cross_entropy"), F.lit(0.0))).alias("most")
     )

@@ -171,6 +171,21 @@ def test_language(docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_with_little_text(spark):
+    """A rare language is learnt whole beside more than 2^20 grams of another."""
+    letter = lambda bits, n: F.shiftleft(F.lit(0x4E00) + F.shiftright("id", bits) % n, 48 - (bits // 5) * 16)
+    gram = letter(0, 32) + letter(5, 32) + letter(10, 32) + letter(15, 64)
+    common = spark.range((1 << 20) + 1000).select(F.lit("aa").alias("lang"), gram.alias("gram"), F.lit(2).cast("long").alias("n"))
+    text = sentence(7, 40)
+    rare = langid.count_grams(spark.createDataFrame([(text, "zz")], "text string, lang string"))
+    models = langid.fit(common.unionByName(rare))
+    assert models.langs == ["aa", "zz"]
+    assert langid.judge(models, [text])[0] == ["zz"]
+    # Alone or beside the other language the same grams are known.
+    alone = langid.fit(rare)
+    assert len(models.grams[4][0]) == (1 << 20) + 1000 + len(alone.grams[4][0])
+
+
 def test_quality(docs, labels):
     rows = quality.judge(docs, labels, F.col("source"), quality.source_path()).collect()
     assert len(rows) == docs.count() and all(0 <= r.p_quality <= 1 for r in rows)
