@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, chaining, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, warc
+from orderlens.llm import bpe, chaining, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, setjoin, warc
 from orderlens.session import shared_dir
 
 
@@ -69,6 +69,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_quality": op2_quality,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_nearest": op9_nearest,
     "op10_imatch": op10_imatch,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 _OP7_SQL = r"""
@@ -153,7 +158,39 @@ SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = com
 FROM named LEFT JOIN n USING (doc_id)
 """
 
+_OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 2),
+                  lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END)) AS shingle
+  FROM w WHERE len(words) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
+), common_sets AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common_sets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+), named AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id
+FROM named LEFT JOIN n USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op13_jaccard_join": _OP13_SQL,
     "op1_warc_revisits": _OP1_SQL,
     "op5_near_duplicates": _OP5_SQL,
     "op7_line_dedup": _OP7_SQL,

@@ -10,25 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, functions as F
 
 CHUNK = 1 << 20
 
 U = np.uint64
 _SEED = np.random.default_rng(20240611)
-_BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _STEP = U(0xD6E8FEB86659FD93)
-_BYTES = (_BYTE, _SEED.integers(1, 1 << 63, 256, dtype=np.uint64))
+_SPREAD = U(0x9E3779B97F4A7C15)
+SHORT = 16  # bytes that fit into two machine words
+_SEEDS = _SEED.integers(1, 1 << 63, (2, 2), dtype=np.uint64)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"n": 0}
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
@@ -67,22 +67,25 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         yield i, j, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, 0 to n."""
-    if _powers["n"] < n + 1:
-        size = max(CHUNK + 1, n + 1)
-        up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
-        up[0] = down[0] = 1
-        _powers.update(n=size, up=np.cumprod(up), down=np.cumprod(down))
-    return _powers["up"], _powers["down"]
-
-
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hash of each data[start:end]; equal bytes give equal hashes. Lane 1 is another hash."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[lane][data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    """64-bit hash of each data[start:end]; equal bytes give equal hashes. Lane 1 is another hash.
+
+    Ranges of up to 16 bytes are read as two machine words and scrambled; longer
+    ones go through xxh3. Neither is a polynomial, for which clashes can be built.
+    """
+    size = end - start
+    padded = np.zeros(len(data) + SHORT, np.uint8)
+    padded[: len(data)] = data
+    word = np.ndarray(len(data) + SHORT - 7, "<u8", padded, strides=(1,))
+    low = word[start] & _FIRST[np.minimum(size, 8)]
+    high = word[np.minimum(start + 8, len(word) - 1)] & _FIRST[np.clip(size - 8, 0, 8)]
+    found = mix(mix(low ^ _SEEDS[lane][0]) * _SPREAD + (high ^ _SEEDS[lane][1]) + size.astype(np.uint64) * _STEP)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw, digest = memoryview(padded), xxhash.xxh3_64_intdigest
+        ranges = zip(start[long].tolist(), end[long].tolist(), strict=True)
+        found[long] = np.fromiter((digest(raw[a:b], lane) for a, b in ranges), np.uint64, len(long))
+    return found
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +117,22 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     found = mix(hashes[:n] + _STEP)
     for i in range(1, k):
-        found = mix(found * _BASE + hashes[i : i + n])
+        found = mix(found * _SPREAD + hashes[i : i + n])
+    return found
+
+
+def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """As shingle_hashes for long windows, other values: put together from windows of 1, 2, 4, ... words."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    found, at, size, part = np.full(n, U(k)), 0, 1, hashes
+    while size <= k:
+        if k & size:
+            found = mix(found * _SPREAD + part[at : at + n])
+            at += size
+        part = mix(part[:-size] * _SPREAD + part[size:] + _STEP) if len(part) > size else part[:0]
+        size *= 2
     return found
 
 
