@@ -12,10 +12,10 @@
 2. Equal sets are one class, held by its smallest doc_id.
 3. Classes that share all registers of a band are candidates. A bucket of any
    size emits no all-pairs product: every member meets the bucket's least
-   member; then only members of buckets still spanning several components meet
-   further leaders, ``LEADERS`` at a time, until every pair of members from
-   different components has been tried. Each round writes rows in proportion to
-   the buckets left.
+   member. Members of buckets that then still span several components are
+   joined anew by their rarest shingles, of which linked sets must share one
+   (``setjoin``): sets that are alike but under the threshold, as a bucket of
+   changed copies holds many, mostly part there. No link of a bucket is lost.
 4. A collision-corrected estimate drops pairs far below the threshold (six
    standard deviations), then the full sets decide, exactly.
 5. Components come from star contraction of the links.
@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from orderlens.llm import setjoin
+from orderlens.llm.graph import components
 from orderlens.llm.text import U, list_column, mix, shingle_sets, text_chunks
 from orderlens.session import materialise, ship_package
 
@@ -47,7 +48,6 @@ ROWS, BANDS = 7, 54
 MANTISSA = 10
 VALUE_BITS = 40
 LEVELS = (1, 6, 21, 63, 378)
-LEADERS = 32
 SIGMAS = 6.0
 
 _SKETCH = "doc_id long, n_shingles long, set_id binary, level int, registers binary, bands array<long>"
@@ -216,58 +216,21 @@ def _links(pairs: DataFrame, kept: DataFrame, sets: DataFrame, percent: int) ->
     )
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the least node reachable over undirected (a, b); only nodes with an edge.
-
-    Alternates large and small stars until nothing changes; written each time. The
-    least neighbour comes from an aggregate joined back, so that a node with very
-    many edges is no single task.
-    """
-
-    def star(e: DataFrame, least_of_all: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select("b", "a")) if least_of_all else e.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        )
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = both.join(least, "a")
-        if least_of_all:
-            out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.filter("a != b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
-    seen = state(edges)
-    while seen[0]:
-        edges = materialise(star(materialise(star(edges, True), name), False), name)
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    least = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)
-
-
-def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links: only the components that these links touch are contracted."""
-    of = found.toDF("node", "component")
-    ends = (
-        links.join(of.toDF("a", "ca"), "a", "left")
-        .join(of.toDF("b", "cb"), "b", "left")
-        .select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
-    )
-    ends = materialise(ends, "near-ends")
-    merged = materialise(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-merged")
-    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("n")).select("n.*")
-    rows = of.union(new).distinct().join(merged.toDF("component", "root"), "component", "left")
-    return materialise(rows.select("node", F.coalesce("root", "component").alias("component")), "near-components")
+def _rest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components after all links among ``sets`` (doc_id, shingles), found by their rarest shingles."""
+    keyed = sets.select("doc_id", F.xxhash64("shingles").alias("key"), "shingles")
+    distinct = materialise(keyed.select("key", "shingles").dropDuplicates(["key"]), "near-keyed")
+    holder = materialise(keyed.select("key", "doc_id").distinct(), "near-holders")
+    before = holder.join(found.toDF("doc_id", "component"), "doc_id").groupBy("component").agg(F.min("key").alias("b"))
+    before = before.join(found.toDF("doc_id", "component"), "component").join(holder, "doc_id").select(F.col("key").alias("a"), "b")
+    linked = setjoin.resolve(setjoin.lists_of(setjoin.index(distinct, percent)), distinct, percent, before)
+    ends = linked.toDF("key", "root").join(holder, "key").select("root", F.col("doc_id").alias("a"))
+    ends = ends.join(holder.toDF("root", "b"), "root").select("a", "b")
+    return materialise(components(ends.union(found.toDF("a", "b"))), "near-components")
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, leaders: int = LEADERS
+    docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
     made = materialise(sketches(docs, k, percent, rows, bands), "near-sketches")
@@ -290,34 +253,16 @@ def near_duplicates(
     )
     pairs = active.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     found = materialise(components(_links(pairs, kept, sets, percent)), "near-components")
-    active = active.filter("doc_id != lead").select("key", "doc_id")
-    while True:
-        named = active.join(found.toDF("doc_id", "component"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        active = materialise(named.join(open_keys.select("key"), "key"), "near-open")
-        if active.isEmpty():
-            break
-        by_key = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
-        lead = materialise(
-            active.withColumn("r", F.row_number().over(by_key))
-            .filter(F.col("r") <= leaders)
-            .select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component")),
-            "near-leaders",
-        )
-        pairs = (
-            active.join(lead, "key")
-            .filter("component != lead_component")
-            .select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
-            .distinct()
-        )
-        links = _links(pairs, kept, sets, percent)
-        if not links.isEmpty():
-            found = _joined(found, links)
-        active = active.join(lead.select("key", F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti").select(
-            "key", "doc_id"
-        )
+    open_keys = (
+        active.join(found.toDF("doc_id", "component"), "doc_id", "left")
+        .filter("doc_id != lead")  # it has met its buckets
+        .withColumn("component", F.coalesce("component", "doc_id"))
+        .groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .filter("x < y")
+    )
+    left = active.filter("doc_id != lead").join(open_keys.select("key"), "key", "left_semi").select("doc_id").distinct()
+    found = _rest(materialise(sets.join(left, "doc_id", "left_semi"), "near-open"), found, percent)
     named = classes.join(found.toDF("class_id", "component"), "class_id", "left")
     return (
         made.select("doc_id", "n_shingles", "set_id")

@@ -8,11 +8,10 @@
 2. A set's shingles are put in order of their slot's count, rarest first. Sets that
    link share one of their first n - ceil(percent * n / 100) + 1 shingles, at places
    that leave room for the overlap they need. Each such shingle has an index list of
-   (set, size, place); lists of one set go, and longer ones are cut by size, because
-   linked sets are of one size level or of neighbouring ones.
-3. Set relations skip most of a list. A list's leader meets its members; what links
-   with it is in its component, and members of one component never meet again. Lists
-   that still hold several components get other leaders, then every pair of different
+   (set, size, place); lists of one set go.
+3. Set relations skip most of a list. A list's leader meets its members and leaves the
+   list; what links with it is in its component, and members of one component never
+   meet again. Lists that still hold several components get other leaders; at last every pair of different
    components is listed: entries are sorted by size and place and cut into blocks, and
    a pair of blocks is skipped if sizes or places rule all its pairs out. A long list
    is dealt out as pairs of slices, so no list has to fit one task.
@@ -31,7 +30,6 @@ component. Other columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,12 +38,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from orderlens.llm.nearhash import components
+from orderlens.llm.graph import components
 from orderlens.llm.text import list_column, shingle_sets, text_chunks
 from orderlens.session import materialise, ship_package
 
 SLOT_BITS = 18
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 5
 SLICE = 4096  # entries of one list that meet in one group
 BLOCK = 64  # entries that are skipped together
 IDS_SENT = 1_000_000  # ids sent to all tasks at most, 8 bytes each; more are joined by shuffle
@@ -97,24 +95,37 @@ def prefix(shingles: np.ndarray, percent: int, seen: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, seen[_slots(shingles)]))][: n + percent * -n // 100 + 1]
 
 
+def _entry_batch(keys: np.ndarray, sets: list[np.ndarray], percent: int, seen: np.ndarray) -> pa.RecordBatch:
+    first = [prefix(s, percent, seen) for s in sets]
+    sizes = np.array([len(x) for x in first])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate(first).view(np.int64)),
+            pa.array(np.repeat(keys, sizes)),
+            pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)),
+            pa.array((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)),
+        ],
+        names=["token", "key", "n", "pos"],
+    )
+
+
 def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> Iterator[pa.RecordBatch]:
     counts = np.frombuffer(seen.value, np.int64)
     for batch in batches:
         for _, _, offsets, data in text_chunks(batch.column("text")):
             sets = [s for s in shingle_sets(data, offsets, k) if len(s)]
-            if not sets:
-                continue
-            first = [prefix(s, percent, counts) for s in sets]
-            sizes = np.array([len(x) for x in first])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(first).view(np.int64)),
-                    pa.array(np.repeat(np.array([_key(s) for s in sets], np.int64), sizes)),
-                    pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)),
-                    pa.array((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)),
-                ],
-                names=["token", "key", "n", "pos"],
-            )
+            if sets:
+                yield _entry_batch(np.array([_key(s) for s in sets], np.int64), sets, percent, counts)
+
+
+def _entries_of(batches: Iterator[pa.RecordBatch], percent: int, seen) -> Iterator[pa.RecordBatch]:
+    counts = np.frombuffer(seen.value, np.int64)
+    for batch in batches:
+        lists = batch.column("shingles")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        if sets:
+            yield _entry_batch(batch.column("key").to_numpy(), sets, percent, counts)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -143,18 +154,10 @@ def _fits(percent: int):
     )
 
 
-def lists_of(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries of lists that hold several sets, by token and size level; written.
-
-    Sizes of linked sets differ by less than one level, so each entry is in the list
-    of its own level and in that of the next.
-    """
+def lists_of(entries: DataFrame) -> DataFrame:
+    """(token, key, n, pos) of the lists that hold several sets; written."""
     shared = entries.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("token")
-    level = F.floor(F.log(F.col("n")) * ((1 - 1e-9) / math.log(100 / percent))).cast("int")
-    rows = entries.join(shared, "token").distinct()
-    rows = materialise(rows.select("*", F.explode(F.array(level, level + 1)).alias("level")), "setjoin-entries")
-    both = rows.groupBy("token", "level").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
-    return materialise(rows.join(both.select("token", "level"), ["token", "level"]), "setjoin-lists")
+    return materialise(entries.join(shared, "token").distinct(), "setjoin-lists")
 
 
 def crossing(n: np.ndarray, pos: np.ndarray, component: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,34 +223,35 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for table, starts in _groups(batches, ["token", "level", "low", "high"]):
+    for table, starts in _groups(batches, ["token", "low", "high"]):
         n, pos, component, key, slice_, low, high = (
             table.column(c).to_numpy() for c in ("n", "pos", "component", "key", "slice", "low", "high")
         )
         ends = np.append(starts[1:], table.num_rows)
-        out_a, out_b = [], []
+        left, right = [], []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             side = None if low[s] == high[s] else slice_[s:e] == high[s]
             a, b = crossing(n[s:e], pos[s:e], component[s:e], side, percent)
-            out_a.append(key[s:e][a])
-            out_b.append(key[s:e][b])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            left.append(a + s)
+            right.append(b + s)
+        a, b = np.concatenate(left), np.concatenate(right)
+        a, b = np.where(key[a] < key[b], a, b), np.where(key[a] < key[b], b, a)
+        pairs = np.unique(np.stack((key[a], key[b])), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All (a, b) of lists (with component) that may link and are not of one component."""
-    sizes = lists.groupBy("token", "level").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     own = F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
     dealt = (
-        lists.join(sizes, ["token", "level"])
+        lists.join(sizes, "token")
         .withColumn("slice", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .select("*", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
         .drop("other", "slices")
     )
-    by = ["token", "level", "low", "high"]
+    by = ["token", "low", "high"]
     grouped = dealt.repartition(*by).sortWithinPartitions(*by)
     return grouped.mapInArrow(partial(_pairs_of, percent=percent), "a long, b long").distinct()
 
@@ -329,59 +333,80 @@ def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def resolve(lists: DataFrame, texts: DataFrame, holders: DataFrame, k: int, percent: int, links: DataFrame | None = None) -> DataFrame:
-    """(node, component) of all links among the sets of ``lists``, and of ``links`` (a, b) known before.
+def resolve(lists: DataFrame, sets: DataFrame, percent: int, before: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all links among the sets of ``lists``; ``before`` are links (a, b) known already.
 
-    ``holders`` are (doc_id, key) of one document of each set, ``texts`` (doc_id, text).
+    ``sets`` are (key, shingles), one row a key.
     """
-    met = materialise(lists.select("key").distinct(), "setjoin-met")
-    of = materialise(holders.join(met, "key").select("doc_id").distinct(), "setjoin-holders")
-    sets = _among(texts, of, "doc_id").mapInArrow(partial(_sets, k=k), "key long, shingles array<long>")
-    sets = materialise(sets.join(met, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
-    spark = texts.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
-    links = none if links is None else links
+    spark = lists.sparkSession
+    found = spark.createDataFrame([], "node long, component long")
+    if before is not None:
+        found = materialise(components(before), "setjoin-components")
     answers = spark.createDataFrame(
         [], "a long, b long, n_a int, n_b int, common int, linked boolean, lacks array<long>, adds array<long>"
     )
-    found = materialise(components(links), "setjoin-components")
     active = lists
     for turn in range(LEADER_ROUNDS + 1):
-        named = active.drop("component").join(found.toDF("key", "component"), "key", "left").withColumn(
-            "component", F.coalesce("component", "key")
+        named = active.join(found.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        # At first one leader for many lists, so that pairs repeat; later each list has its own.
+        draw = F.xxhash64("key") if turn == 0 else F.xxhash64("key", "token", F.lit(turn))
+        lead = (
+            named.groupBy("token")
+            .agg(
+                F.min("component").alias("x"),
+                F.max("component").alias("y"),
+                F.min(F.struct(draw.alias("draw"), "key", "n", "pos", "component")).alias("l"),
+            )
+            .filter("x < y")
+            .select("token", "l")
         )
-        several = named.groupBy("token", "level").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        active = materialise(named.join(several.select("token", "level"), ["token", "level"]), "setjoin-open")
+        active = materialise(named.join(lead, "token"), "setjoin-open")
         if active.isEmpty():
             return found
         if turn == LEADER_ROUNDS:
             break
-        lead = active.groupBy("token", "level").agg(
-            F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "pos", "component")).alias("l")
-        )
-        met_by = active.join(lead, ["token", "level"]).select(
-            F.col("l.key").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a"),
-            F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
-            (F.col("l.component") != F.col("component")).alias("apart"),
+        pairs = (
+            active.filter(F.col("l.component") != F.col("component"))
+            .select(
+                F.col("l.key").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a"),
+                F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
+            )
+            .filter(_fits(percent))
+            .select("a", "b")
+            .distinct()
         )
-        pairs = met_by.filter(F.col("apart") & _fits(percent)).select("a", "b").distinct()
         now = _answers(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
         answers = answers.unionByName(now)
-        links = links.union(now.filter("linked").select("a", "b"))
+        links = found.toDF("a", "b").union(now.filter("linked").select("a", "b"))
         found = materialise(components(links), "setjoin-components")
-    left = _derived(materialise(remaining_pairs(active, percent), "setjoin-remaining"), answers, sets, percent)
-    return materialise(components(links.union(left)), "setjoin-components")
+        # The leader has met its whole list.
+        active = active.filter("key != l.key").select("token", "key", "n", "pos")
+    pairs = crossing_pairs(active.drop("l"), percent).join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    left = _derived(materialise(pairs, "setjoin-remaining"), answers, sets, percent)
+    return materialise(components(found.toDF("a", "b").union(left)), "setjoin-components")
+
+
+def _collected(counted: DataFrame):
+    """Counts of the slots as a broadcast; at most 2**SLOT_BITS rows."""
+    table = counted.groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
+    seen = np.zeros(1 << SLOT_BITS, np.int64)
+    seen[table.column("slot").to_numpy()] = table.column("seen").to_numpy()
+    return counted.sparkSession.sparkContext.broadcast(seen.tobytes())
 
 
-def measure(texts: DataFrame, k: int) -> tuple[DataFrame, "object"]:
+def measure(texts: DataFrame, k: int) -> tuple[DataFrame, object]:
     """(doc_id, n_shingles, key) of every row, and the counts of the slots as a broadcast of fixed size."""
-    spark = texts.sparkSession
-    ship_package(spark)
+    ship_package(texts.sparkSession)
     made = materialise(texts.mapInArrow(partial(_measure, k=k), _MADE), "setjoin-made")
-    counted = made.filter("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
-    seen = np.zeros(1 << SLOT_BITS, np.int64)
-    seen[counted.column("slot").to_numpy()] = counted.column("seen").to_numpy()
-    return made.filter("slot is null").select("doc_id", "n_shingles", "key"), spark.sparkContext.broadcast(seen.tobytes())
+    return made.filter("slot is null").select("doc_id", "n_shingles", "key"), _collected(made.filter("slot is not null"))
+
+
+def index(sets: DataFrame, percent: int) -> DataFrame:
+    """Entries (token, key, n, pos) of sets (key, shingles) that are at hand; written."""
+    slot = F.shiftrightunsigned("token", 64 - SLOT_BITS).cast("int").alias("slot")
+    counted = sets.select(F.explode("shingles").alias("token")).groupBy(slot).agg(F.count("*").alias("seen"))
+    entries = sets.mapInArrow(partial(_entries_of, percent=percent, seen=_collected(counted)), _ENTRY)
+    return materialise(entries, "setjoin-index")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -389,11 +414,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made, seen = measure(texts, k)
     entries = texts.filter("doc_id is not null").mapInArrow(partial(_entries, k=k, percent=percent, seen=seen), _ENTRY)
-    lists = lists_of(materialise(entries, "setjoin-index"), percent)
+    lists = lists_of(materialise(entries, "setjoin-index"))
     holders = materialise(
         made.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "setjoin-classes"
     )
-    found = resolve(lists, texts, holders, k, percent).toDF("key", "root")
+    met = materialise(lists.select("key").distinct(), "setjoin-met")
+    of = materialise(holders.join(met, "key").select("doc_id").distinct(), "setjoin-holders")
+    sets = _among(texts, of, "doc_id").mapInArrow(partial(_sets, k=k), "key long, shingles array<long>")
+    sets = materialise(sets.join(met, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
+    found = resolve(lists, sets, percent).toDF("key", "root")
     rooted = holders.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("doc_id").alias("class_id"))
     smallest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("key", "class_id", "component_id")
