@@ -43,7 +43,7 @@ from orderlens.llm.text import list_column, shingle_sets, text_chunks
 from orderlens.session import materialise, ship_package
 
 SLOT_BITS = 18
-LEADER_ROUNDS = 5
+LEADER_ROUNDS = 4
 SLICE = 4096  # entries of one list that meet in one group
 BLOCK = 64  # entries that are skipped together
 IDS_SENT = 1_000_000  # ids sent to all tasks at most, 8 bytes each; more are joined by shuffle
@@ -263,11 +263,19 @@ def _linked(common, percent: int):
     return common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
 
 
+def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is among ``ids``: sent to all tasks if they are few (counted), else shuffled."""
+    few = ids.count() <= IDS_SENT
+    return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
 def _answers(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b, common, linked, lacks, adds) from full sets; the differences of b to a only where linked; written."""
+    pairs = materialise(pairs.select("a", "b"), "setjoin-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = _among(sets, materialise(asked, "setjoin-asked"), "key")
     met = (
-        pairs.select("a", "b")
-        .join(sets.toDF("a", "set_a"), "a")
+        pairs.join(sets.toDF("a", "set_a"), "a")
         .join(sets.toDF("b", "set_b"), "b")
         .select("*", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
         .withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
@@ -327,16 +335,10 @@ def _derived(pairs: DataFrame, answers: DataFrame, sets: DataFrame, percent: int
     return materialise(bounded.union(plain.filter("linked").select("a", "b")), "setjoin-links")
 
 
-def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose id is among ``ids``: sent to all tasks if they are few (counted), else shuffled."""
-    few = ids.count() <= IDS_SENT
-    return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
-
-
 def resolve(lists: DataFrame, sets: DataFrame, percent: int, before: DataFrame | None = None) -> DataFrame:
     """(node, component) of all links among the sets of ``lists``; ``before`` are links (a, b) known already.
 
-    ``sets`` are (key, shingles), one row a key.
+    ``sets`` are (key, shingles); a key may have several rows of the same set.
     """
     spark = lists.sparkSession
     found = spark.createDataFrame([], "node long, component long")
@@ -421,7 +423,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     met = materialise(lists.select("key").distinct(), "setjoin-met")
     of = materialise(holders.join(met, "key").select("doc_id").distinct(), "setjoin-holders")
     sets = _among(texts, of, "doc_id").mapInArrow(partial(_sets, k=k), "key long, shingles array<long>")
-    sets = materialise(sets.join(met, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
+    sets = materialise(_among(sets, met, "key"), "setjoin-sets")
     found = resolve(lists, sets, percent).toDF("key", "root")
     rooted = holders.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.col("doc_id").alias("class_id"))
     smallest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
