@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, chaining, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, setjoin, warc
+from orderlens.llm import bpe, chaining, crosstok, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, setjoin, warc
 from orderlens.session import shared_dir
 
 
@@ -69,6 +69,11 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (crosstok.read_file(spark, public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstok.alignment(_read(spark, sf_dir, "documents"), a, b)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_nearest": op9_nearest,
     "op10_imatch": op10_imatch,
+    "op11_token_alignment": op11_token_alignment,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
