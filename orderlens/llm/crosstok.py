@@ -34,8 +34,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,8 @@ from orderlens.session import materialise, ship_package
 
 LINKS = 1 << 21  # links of a block, or those of one document
 BLOCK_DOCS = 1 << 16
-REMEMBERED = 400_000  # units that a worker remembers
-LONG = 200  # bytes of a unit that is not remembered
+CHUNK = 1 << 22  # bytes of text handled at once, or one document
+REMEMBERED = 600_000  # units that a worker remembers
 B_BITS = 17  # bits of a B id inside a pair
 
 _ALIGNED = (
@@ -59,8 +61,23 @@ _ALIGNED = (
 _state: dict = {}
 
 
+class Vocabulary:
+    """Bytes and size of each token of one tokenizer; ids without bytes have size -1."""
+
+    def __init__(self, tokens: dict[int, bytes], size: int) -> None:
+        each = [tokens.get(i, b"") for i in range(size)]
+        self.size = np.array([len(t) if i in tokens else -1 for i, t in enumerate(each)], np.int64)
+        self.begin = np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(size.sum()) + np.repeat(self.begin[ids] - (ends - size), size)]
+
+
 class Tokenizers:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, and what has been found out about units so far."""
 
     def __init__(self, a: bytes, b: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -71,39 +88,78 @@ class Tokenizers:
         self.b = SentencePieceProcessor(model_proto=b)
         byte_of = {c: i for i, c in _byte_letters().items()}
         letters = json.loads(a)["model"]["vocab"]
-        self.a_size = {i: len(t) if all(c in byte_of for c in t) else -1 for t, i in letters.items()}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in letters.items() if self.a_size[i] >= 0}
-        self.b_bytes = {}
+        n_a, n_b = 1 + max(letters.values()), self.b.get_piece_size()
+        self.of_a = Vocabulary({i: bytes(byte_of[c] for c in t) for t, i in letters.items() if all(c in byte_of for c in t)}, n_a)
+        pieces = {}
         self.whole = False  # a piece crosses the border of units: then a text is one unit
-        for i in range(self.b.get_piece_size()):
+        for i in range(n_b):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
-                self.b_bytes[i] = bytes([int(piece[3:5], 16)])
+                pieces[i] = bytes([int(piece[3:5], 16)])
             elif not (self.b.is_control(i) or self.b.is_unknown(i)):
-                self.b_bytes[i] = piece.replace("▁", " ").encode()
+                pieces[i] = piece.replace("▁", " ").encode()
                 self.whole |= "▁" in piece.lstrip("▁")
-
-    def units(self, texts: list[bytes]) -> list[tuple | None]:
-        """(A ids, B ids, groups, links, text of the groups) of each unit, None where the bytes differ."""
-        done: list = [None] * len(texts)
-        read, at = [], []
-        for i, raw in enumerate(texts):
-            try:
-                read.append(raw.decode())
-                at.append(i)
-            except UnicodeDecodeError:
-                pass
-        if not read:
-            return done
-        coded_a = self.a.encode_batch(read, add_special_tokens=False)
+        self.of_b = Vocabulary(pieces, n_b)
+        # An id and what may stand behind it in the text of groups.
+        self.names_a = np.array([f"{i}{c}" for c in ",|" for i in range(n_a)], object)
+        self.names_b = np.array([f"{i}{c}" for c in ",;\n" for i in range(n_b)], object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.right = np.zeros(0, bool)
+        self.sizes = np.zeros((0, 3), np.int64)  # tokens of A and B, groups
+        self.links = np.zeros(0, np.int64)  # pairs of all units, one after another
+        self.ends = np.zeros(1, np.int64)
+        self.texts: list[str] = []
+
+    def look_up(self, units: list[bytes]) -> np.ndarray:
+        """Numbers of distinct units; new ones are encoded and aligned."""
+        new = [u for u in units if u not in self.number]
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = units
+        if new:
+            first = len(self.texts)
+            self._learn(new)
+            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.array([self.number[u] for u in units], np.int64)
+
+    def _learn(self, units: list[bytes]) -> None:
+        read = [u.decode(errors="replace") for u in units]
+        coded_a = [x.ids for x in self.a.encode_batch(read, add_special_tokens=False)]
         coded_b = self.b.encode([t[1:] for t in read], num_threads=1)
         # A last blank is a unit of its own; of an empty text the library makes nothing.
         coded_b = [[self.b.piece_to_id("▁")] if t == " " else ids for t, ids in zip(read, coded_b, strict=True)]
-        for i, a, b in zip(at, coded_a, coded_b, strict=True):
-            a = a.ids
-            if b"".join([self.a_bytes.get(x, b"") for x in a]) == texts[i] == b"".join([self.b_bytes.get(x, b"") for x in b]):
-                done[i] = aligned(a, [len(self.a_bytes[x]) for x in a], b, [len(self.b_bytes[x]) for x in b])
-        return done
+        size = np.array([len(u) for u in units], np.int64)
+        text = np.frombuffer(b"".join(units), np.uint8)
+        right = np.ones(len(units), bool)
+        flat = []
+        for coded, of in ((coded_a, self.of_a), (coded_b, self.of_b)):
+            count = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, int(count.sum()))
+            unit = np.repeat(np.arange(len(units)), count)
+            right[unit[of.size[ids] < 0]] = False
+            right &= np.bincount(unit, of.size[ids], len(units)).astype(np.int64) == size
+            flat.append((ids, unit))
+        same = right.copy()
+        for (ids, unit), of in zip(flat, (self.of_a, self.of_b), strict=True):
+            spelt = of.spell(ids[right[unit]])
+            byte = np.repeat(right, size)
+            differs = np.flatnonzero(spelt != text[byte])
+            same[np.repeat(np.arange(len(units)), size)[byte][differs]] = False
+        (a, unit_a), (b, unit_b) = [(ids[same[unit]], unit[same[unit]]) for ids, unit in flat]
+        links, unit_of_link, groups, names = aligned(a, self.of_a.size[a], b, self.of_b.size[b], unit_b)
+        n = len(units)
+        sizes = np.stack([np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(groups, minlength=n)], axis=1)
+        order, last_a, last_b = names
+        shown = np.concatenate((self.names_a[a + last_a * len(self.of_a.size)], self.names_b[b + last_b * len(self.of_b.size)]))[order]
+        parts = iter("".join(shown.tolist()).split("\n"))
+        self.texts += [next(parts) if ok else "" for ok in same.tolist()]
+        self.right = np.concatenate((self.right, same))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.links = np.concatenate((self.links, links))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.bincount(unit_of_link, minlength=n))))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -113,33 +169,33 @@ def _byte_letters() -> dict[int, str]:
     return {**{i: chr(i) for i in shown}, **{x: chr(0x100 + n) for n, x in enumerate(hidden)}}
 
 
-def aligned(a: list[int], size_a: list[int], b: list[int], size_b: list[int]) -> tuple:
-    """Number of A and B tokens and groups, pairs of all links as one number each, and the groups as text."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[0], size_b[0]
-    while True:
-        links.append(a[i] << B_BITS | b[j])
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-            i, j = i + 1, j + 1
-            if i == len(a) or j == len(b):
-                break
-            first_a, first_b = i, j
-            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[i]
-        else:
-            j += 1
-            end_b += size_b[j]
-    return len(a), len(b), len(groups), np.array(links, np.int64), ";".join(groups)
+def aligned(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, unit_b: np.ndarray) -> tuple:
+    """Links and groups of two token sequences over the same bytes.
+
+    Returns each link's pair as one number and its unit, the unit of each group, and for
+    the text of the groups the order of all A then B tokens and what stands behind each:
+    for A whether it ends a group, for B 0 inside, 1 at the end of a group, 2 of a unit.
+    """
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    # A token meets the B tokens from the first that ends behind its start to the first that reaches its end.
+    first = np.searchsorted(end_b, end_a - size_a, side="right")
+    count = np.searchsorted(end_b, end_a, side="left") - first + 1
+    stops = np.cumsum(count)
+    met = np.arange(count.sum()) + np.repeat(first - (stops - count), count)
+    links = np.repeat(a, count) << B_BITS | b[met]
+    closes_a, closes_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+    group_a = np.cumsum(closes_a) - closes_a
+    group_b = np.cumsum(closes_b) - closes_b
+    order = np.argsort(np.concatenate((group_a * 2, group_b * 2 + 1)), kind="stable")
+    ends_unit = np.append(unit_b[1:] != unit_b[:-1], True) if len(unit_b) else np.zeros(0, bool)
+    return links, unit_b[met], unit_b[closes_b], (order, closes_a.astype(np.int64), closes_b.astype(np.int64) + ends_unit)
 
 
 def _tokenizers(a: bytes, b: bytes) -> Tokenizers:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     key = (hash(a), hash(b))
     if _state.get("key") != key:
-        _state.update(key=key, tokenizers=Tokenizers(a, b), memory={})
+        _state.update(key=key, tokenizers=Tokenizers(a, b))
     return _state["tokenizers"]
 
 
@@ -156,17 +212,6 @@ def unit_starts(data: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate((space[sure], wide[~odd])))
 
 
-def _known_units(tokenizers: Tokenizers, texts: list[bytes]) -> list[tuple | None]:
-    memory = _state["memory"]
-    new = [t for t in texts if t not in memory]
-    if len(memory) + len(new) > REMEMBERED:
-        memory.clear()
-        new = texts
-    made = dict(zip(new, tokenizers.units(new), strict=True)) if new else {}
-    memory.update((t, v) for t, v in made.items() if len(t) <= LONG)
-    return [made[t] if t in made else memory[t] for t in texts]
-
-
 def _chunk(tokenizers: Tokenizers, offsets: np.ndarray, data: np.ndarray) -> tuple:
     """For each document of a chunk: tokens of A and B, groups, links, digest; pairs of all links and their documents."""
     n = len(offsets) - 1
@@ -183,24 +228,20 @@ def _chunk(tokenizers: Tokenizers, offsets: np.ndarray, data: np.ndarray) -> tup
     hashes = range_hashes(data, start, end)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    units = _known_units(tokenizers, [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-    bad = np.array([u is None for u in units], bool)
+    units = tokenizers.look_up([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])[inverse]
     lost = np.zeros(n, bool)
-    lost[doc[bad[inverse]]] = True
+    lost[doc[~tokenizers.right[units]]] = True
     kept = ~lost[doc]
-    doc, inverse = doc[kept], inverse[kept]
-    units = [u or (0, 0, 0, np.zeros(0, np.int64), "") for u in units]
-    sizes = np.array([u[:3] for u in units], np.int64).reshape(-1, 3)
-    totals = np.stack([np.bincount(doc, sizes[inverse, c], n).astype(np.int64) for c in range(3)], axis=1)
-    flat = np.concatenate([u[3] for u in units]) if units else np.zeros(0, np.int64)
-    size = np.array([len(u[3]) for u in units], np.int64)
-    begin, each = np.cumsum(size) - size, size[inverse]
-    ends = np.cumsum(each)
-    pairs = flat[np.arange(each.sum()) + np.repeat(begin[inverse] - (ends - each), each)]
+    doc, units = doc[kept], units[kept]
+    totals = np.stack([np.bincount(doc, tokenizers.sizes[units, c], n).astype(np.int64) for c in range(3)], axis=1)
+    begin = tokenizers.ends[units]
+    each = tokenizers.ends[units + 1] - begin
+    stops = np.cumsum(each)
+    pairs = tokenizers.links[np.arange(each.sum()) + np.repeat(begin - (stops - each), each)]
     of = np.repeat(doc, each)
-    texts = [u[4] for u in units]
+    texts = tokenizers.texts
     borders = np.searchsorted(doc, np.arange(n + 1))
-    used = inverse.tolist()
+    used = units.tolist()
     digests = [
         hashlib.sha256(";".join([texts[u] for u in used[a:b]]).encode()).hexdigest() if b > a else ""
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)
@@ -294,7 +335,7 @@ def _align(batches: Iterator[pa.RecordBatch], a: bytes, b: bytes) -> Iterator[pa
             )
 
     for batch in batches:
-        for i, j, offsets, data in text_chunks(batch.column("text")):
+        for i, j, offsets, data in text_chunks(batch.column("text"), CHUNK):
             totals, n_links, digests, of_pairs, of = _chunk(tokenizers, offsets, data)
             if docs and (docs + j - i > BLOCK_DOCS or sum(map(len, pairs)) + len(of_pairs) > LINKS):
                 yield from flush()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, chaining, crosstok, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, setjoin, warc
+from orderlens.llm import bpe, chaining, crosstok, graph_ann, imatch, langid, linededup, mixing, nearhash, quality, ranked, setjoin, warc
 from orderlens.session import shared_dir
 
 
@@ -74,6 +74,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.alignment(_read(spark, sf_dir, "documents"), a, b)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85).drop("class_id")
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_imatch": op10_imatch,
     "op11_token_alignment": op11_token_alignment,
+    "op12_ranked_search": op12_ranked_search,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
@@ -195,7 +200,37 @@ SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id
 FROM named LEFT JOIN n USING (doc_id)
 """
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark
+), total AS (
+  SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+), tf AS (
+  SELECT r, doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, terms, unnest(terms) AS term FROM d)
+  GROUP BY r, doc_id, len(terms), term
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs
+), score AS (
+  SELECT item_id, r, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 SQL: dict[str, str] = {
+    "op12_ranked_search": _OP12_SQL,
     "op13_jaccard_join": _OP13_SQL,
     "op1_warc_revisits": _OP1_SQL,
     "op5_near_duplicates": _OP5_SQL,

@@ -88,12 +88,15 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int
     return found
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of the first word of each document (n + 1)."""
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the number of the first word of each document (n + 1).
+
+    Words are runs of bytes that are not ``outside`` (a flag for each byte).
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     start, end = inside & border[:-1], inside & border[1:]

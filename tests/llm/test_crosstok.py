@@ -84,8 +84,8 @@ def test_odd_texts_equal_whole_text_encoding(spark):
 
 def test_real_texts_equal_whole_text_encoding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(4)
-    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 6000]
-    assert len(rows) > 100
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 1500]
+    assert len(rows) > 50
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
