@@ -134,11 +134,12 @@ def next_below(ids: DataFrame) -> DataFrame:
     return rows.join(heads, "group", "left").select("id", F.coalesce("next", "head").alias("next"))
 
 
-def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """``rows`` (doc_id and ``payload``) with next_{c} of the next document, descending doc_id.
+def with_next(rows: DataFrame, payload: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(rows)`` with next_{c} of the next document, descending doc_id, for c in ``payload``.
 
     One shuffle of the rows, by windows of ids; the first row behind each window is
-    added to it, so no row needs to be joined.
+    looked up before ``make``, made once and added to the window, so no row needs to
+    be joined. A NULL doc_id is in a window by itself and has no next document.
     """
     window = F.floor(F.col("doc_id") / SPAN).cast("long")
     known = rows.filter("doc_id is not null")
@@ -150,23 +151,25 @@ def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
         order.join(ends.select(F.col("window").alias("next"), "head"), "next").select(F.col("id").alias("window"), F.col("head").alias("doc_id")),
         "order-after",
     )
-    heads = known.join(after, "doc_id").withColumn("__rank", F.lit(1))
+    heads = known.join(after, "doc_id").withColumns({"__rank": F.lit(1), "__hash": F.xxhash64("text")})
     first = Window.partitionBy("window", "doc_id").orderBy("__hash")
-    heads = heads.withColumn("__hash", F.xxhash64("text")).withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
-    own = known.withColumns({"window": window, "__rank": F.lit(0), "__hash": F.xxhash64("text")})
-    by = Window.partitionBy("window").orderBy("__rank", F.desc("doc_id"), "__hash")
-    every = own.unionByName(heads)
-    led = every.withColumn("__next", F.lead(F.struct(*payload)).over(by)).filter("__rank = 0")
-    led = led.drop("window", "__rank", "__hash")
-    lost = rows.filter("doc_id is null").withColumn("__next", F.lit(None).cast(led.schema["__next"].dataType))
-    return led.unionByName(lost).select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in payload])
+    heads = heads.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
+    heads = materialise(make(heads), "order-heads")
+    own = make(rows).withColumns({"window": window, "__rank": F.lit(0), "__hash": F.xxhash64("text")})
+    names = [c for c in own.columns if c not in ("window", "__rank", "__hash")]
+    # Rows without an id are dealt by their text, so that they are no single window.
+    place = [F.col("window"), F.when(F.col("window").isNull(), F.col("__hash"))]
+    by = Window.partitionBy(*place).orderBy("__rank", F.desc("doc_id"), "__hash")
+    led = own.unionByName(heads).withColumn("__next", F.lead(F.struct(*payload)).over(by)).filter("__rank = 0")
+    led = led.withColumn("__next", F.when(F.col("doc_id").isNotNull(), F.col("__next")))
+    return led.select(*names, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in payload])
 
 
 def fingerprints(docs: DataFrame, in_plan: int = IN_PLAN) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     banded = lexicon(base, in_plan=in_plan)
-    made = with_next(with_fingerprint(base, "text", banded), ["text", "parts", "fingerprint"])
+    made = with_next(base, ["text", "parts", "fingerprint"], lambda df: with_fingerprint(df, "text", banded))
     n = F.char_length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(
