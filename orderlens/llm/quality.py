@@ -3,10 +3,11 @@
 A logistic regression on surface features gives each document its own log-odds. It
 is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by hash of the id).
 Everything else covers all documents: expected good documents are summed by path
-and by host; the spread between hosts, and between the paths of a host, beyond what
-their sizes explain gives the strength of the prior, so that sparse sites shrink to
-the global rate and sparse paths to their host. A document's odds are multiplied by
-its path's posterior odds, without its own part in them, over the global odds.
+and by host, with their squares; the spread between hosts, and between the paths of a
+host, beyond what the scatter of their documents explains gives the strength of the
+prior, so that sparse sites shrink to the global rate and sparse paths to their host. A
+document's odds are multiplied by its path's posterior odds, without its own part in
+path and host, over the global odds.
 
 Defined results: a NULL host or path is a site of its own. NULL and empty texts
 have all features 0. A document is rejected where the probability is below
@@ -150,39 +151,48 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+MOST_PULL = 1e6  # documents; the strength of a prior when sites do not differ at all
+
+
 def _strength(groups: DataFrame, center: str) -> float:
-    """Prior strength by moments: spread of the group means beyond what their sizes explain."""
+    """Prior strength in documents, by moments: variance inside groups over the variance between them.
+
+    ``groups`` have n, good (sum of p), squares (sum of p * p) and ``center``. The
+    spread of the group means around their centers is what the groups differ by, plus
+    what the scatter of their documents explains; that scatter is measured, not taken
+    from draws of 0 and 1, because p are probabilities.
+    """
     mean = F.col("good") / F.col("n")
-    inner = F.col(center) * (1 - F.col(center))
     row = groups.agg(
         F.sum(F.col("n") * (mean - F.col(center)) ** 2).alias("spread"),
-        F.sum(inner).alias("expected"),
-        F.sum(F.col("n")).alias("n"),
-        F.sum(F.col("n") * inner).alias("inner"),
+        F.sum(F.col("squares") - F.col("n") * mean**2).alias("inner"),
+        F.sum("n").alias("n"),
+        F.count("*").alias("groups"),
     ).first()
-    if not row["n"] or not row["inner"]:
+    if not row["n"] or row["n"] <= row["groups"]:
         return 1.0
-    excess = max(row["spread"] - row["expected"], 0.0) / row["n"]
-    usual = row["inner"] / row["n"]
-    return float(min(max(usual / excess - 1, 1.0), 1e6)) if excess > 0 else 1e6
+    inside = max(row["inner"], 0.0) / (row["n"] - row["groups"])
+    between = max(row["spread"] - row["groups"] * inside, 0.0) / row["n"]
+    return float(min(max(inside / between, 1.0), MOST_PULL)) if between > 0 else MOST_PULL
 
 
-def posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
-    """(host, path, n, good, host_rate), the global rate and the strength of a path's prior.
+def posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, good, host_n, host_good), the global rate, and the strengths of the priors of hosts and paths.
 
     ``scored`` has host, path and p, the probability of each document.
     """
-    paths = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "site-paths")
+    sums = [F.count("*").alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("squares")]
+    paths = materialise(scored.groupBy("host", "path").agg(*sums), "site-paths")
     total = paths.agg(F.sum("good"), F.sum("n")).first()
     rate = (total[0] or 0.0) / max(total[1] or 0, 1)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("rate", F.lit(rate))
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "good", "squares")]).withColumn("rate", F.lit(rate))
     hosts = materialise(hosts, "site-hosts")
     pull = _strength(hosts, "rate")
-    hosts = hosts.select(
-        F.col("host").alias("h"), ((F.col("good") + F.lit(pull) * F.col("rate")) / (F.col("n") + F.lit(pull))).alias("host_rate")
-    )
-    paths = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "site-rates")
-    return paths, rate, _strength(paths, "host_rate")
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    host_rate = (F.col("host_good") + F.lit(pull) * F.lit(rate)) / (F.col("host_n") + F.lit(pull))
+    paths = materialise(paths.withColumn("host_rate", host_rate), "site-rates")
+    return paths.drop("squares", "host_rate"), rate, pull, _strength(paths, "host_rate")
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, cut: float = CUT) -> DataFrame:
@@ -202,9 +212,12 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, cut: f
         )
     scored = docs.mapInArrow(partial(_score, model=model), "doc_id long, host string, path string, log_odds double")
     scored = materialise(scored.withColumn("p", 1 / (1 + F.exp(-F.col("log_odds")))), "quality-scores")
-    sites, rate, pull = posteriors(scored)
-    sites = sites.toDF("h", "q", "n", "good", "host_rate")
+    sites, rate, host_pull, pull = posteriors(scored)
+    sites = sites.toDF("h", "q", "n", "good", "host_n", "host_good")
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    # Without the document's own part, in the host as in the path.
+    host_rate = (F.col("host_good") - F.col("p") + F.lit(host_pull * rate)) / (F.col("host_n") - 1 + F.lit(host_pull))
+    joined = joined.withColumn("host_rate", host_rate)
     path_rate = (F.col("good") - F.col("p") + F.lit(pull) * F.col("host_rate")) / (F.col("n") - 1 + F.lit(pull))
     joined = joined.withColumn("path_rate", path_rate)
     odds = F.col("log_odds") + _logit(F.col("path_rate")) - _logit(F.lit(rate))

@@ -192,3 +192,40 @@ def test_window_hashes_follow_the_words():
     h = text.mix(np.tile(np.arange(60, dtype=np.uint64), 3))
     found = text.window_hashes(h, 50)
     assert len(found) == 131 and found[0] == found[60] and len(np.unique(found)) == 60
+
+
+def test_site_posteriors_equal_numpy(spark):
+    """Planted hosts that differ: the prior's strength and what it does to a document, against NumPy."""
+    from orderlens.llm import quality
+
+    rng = np.random.default_rng(0)
+    rows = [(f"h{h}", f"h{h}/p{i % 2}", float(np.clip((0.55 if h % 2 else 0.9) + rng.normal(0, 0.1), 0, 1))) for h in range(60) for i in range(12)]
+    sites, rate, host_pull, path_pull = quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    p = np.array([r[2] for r in rows]).reshape(60, 12)
+    mean = p.mean(axis=1)
+    inside = ((p - mean[:, None]) ** 2).sum() / (p.size - 60)
+    between = (12 * ((mean - p.mean()) ** 2).sum() - 60 * inside) / p.size
+    assert rate == pytest.approx(p.mean()) and host_pull == pytest.approx(max(inside / between, 1.0)) and host_pull < 2
+    assert path_pull > 50  # the paths of a host do not differ
+    low = [r for r in sites.collect() if r.host == "h1"]
+    assert {r.host_n for r in low} == {12} and low[0].host_good == pytest.approx(p[1].sum())
+
+
+def test_sites_change_decisions(spark):
+    """A document without evidence of its own follows its site; labels and texts are the same everywhere."""
+    from orderlens.llm import quality
+
+    good = "The report was read by many people and its findings were discussed at length in town."
+    bad = "$$$ CLICK CLICK CLICK $$$ 100% WIN WIN WIN $$$ ### !!!"
+    rows, labels = [], []
+    for i in range(400):
+        site = i % 4
+        text = good if site < 2 else bad
+        rows.append((i, f"{text} {i}", f"s{site}", "x"))
+        if i % 3 == 0:
+            labels.append((i, int(site < 2), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("source"), quality.source_path())
+    for r in out.collect():
+        assert (r.p_quality > r.p_document - 1e-9) if r.host in ("s0", "s1") else (r.p_quality < r.p_document + 1e-9)
+        assert r.keep == (r.host in ("s0", "s1"))
