@@ -83,8 +83,8 @@ FROM (SELECT {PAIR}, restock_window, count(*) AS n, sum(quantity) AS q, count(qu
     STEPS[f"{prefix}_stock"] = f"""
 SELECT *, CASE WHEN recent_demand>0 THEN stock_after_order/recent_demand END AS days_of_cover_remaining,
   coalesce(lag(stock_after_order) OVER (PARTITION BY {PAIR} ORDER BY {ORDER})-stock_after_order, 0.0) AS stock_decline_rate
-FROM (SELECT w.*, c.base_stock, c.base_stock-sum(quantity) OVER (PARTITION BY w.product_id, w.order_region, restock_window
-    ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS stock_after_order,
+FROM (SELECT w.*, c.base_stock, CASE WHEN quantity IS NOT NULL THEN c.base_stock-sum(quantity) OVER (PARTITION BY w.product_id,
+    w.order_region, restock_window ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) END AS stock_after_order,
   coalesce(avg(quantity) OVER (PARTITION BY w.product_id, w.order_region ORDER BY {ORDER}
     ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), quantity) AS recent_demand
   FROM {prefix}_windows w JOIN {prefix}_constants c ON w.product_id=c.product_id AND w.order_region=c.order_region)
@@ -369,6 +369,73 @@ RANGE_DOUBLES = [
 ]
 NULLABLE = ["order_id", "order_item_id", "product_id", "order_region", "supplier", "category_name", "price",
             "quantity", "days_real", "days_scheduled", "discount", "discount_rate", "order_date"]
+STEPS["gap_items"] = """
+SELECT * REPLACE (CASE WHEN order_id%11<>0 THEN price END AS price, CASE WHEN order_id%13<>0 THEN quantity END AS quantity,
+  CASE WHEN order_id%17<>0 THEN days_real END AS days_real, CASE WHEN order_id%19<>0 THEN discount_rate END AS discount_rate)
+FROM order_items
+"""
+STEPS["gap_based"] = STEPS["based"].replace("FROM order_items", "FROM gap_items")
+STEPS["gap_zscored"] = STEPS["zscored"].replace("FROM based", "FROM gap_based")
+inventory("gap", "gap_zscored")
+
+
+def keyed(name: str, items: str, prefix: str) -> None:
+    """Step ``name``: what an order sees of earlier ones, from arrays of known prices and per-window sums, not from the reference."""
+    STEPS[f"{name}_prices"] = f"""
+SELECT supplier, category_name, list(price ORDER BY {ORDER}) AS known FROM {items} WHERE price IS NOT NULL GROUP BY ALL
+"""
+    STEPS[f"{name}_frozen"] = f"""
+SELECT category_name, avg(days_real-days_scheduled) AS dm, stddev_pop(days_real-days_scheduled) AS ds,
+  avg(discount_rate) AS rm, stddev_pop(discount_rate) AS rs FROM {items} GROUP BY ALL
+"""
+    STEPS[f"{name}_seen"] = f"""
+SELECT w.*, c.base_stock, CASE WHEN order_date<cut THEN quantity ELSE coalesce(quantity,0) END AS known_quantity,
+  count(price) OVER (PARTITION BY supplier, category_name ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k
+FROM {prefix}_windows w JOIN {prefix}_constants c ON w.product_id=c.product_id AND w.order_region=c.order_region, cut
+"""
+    STEPS[f"{name}_used"] = f"""
+SELECT *, base_stock-sum(coalesce(quantity,0)) OVER (PARTITION BY {PAIR}, restock_window ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS stock,
+  coalesce(avg(known_quantity) OVER (PARTITION BY {PAIR} ORDER BY {ORDER} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), known_quantity) AS demand
+FROM {name}_seen
+"""
+    z_of = lambda x, m, d: f"coalesce(CASE WHEN {d}>0 THEN (({x})-{m})/{d} END, 0.0)"
+    STEPS[name] = f"""
+SELECT {ITEM}, price-coalesce(list_aggregate(known[greatest(k-29,1):k],'median'),price) AS {PRICE},
+  {z_of('days_real-days_scheduled','dm','ds')} AS delivery_delay_deviation, {z_of('discount_rate','rm','rs')} AS discount_rate_anomaly,
+  stock AS stock_after_order, CASE WHEN demand>0 THEN stock/demand END AS days_of_cover_remaining
+FROM (SELECT u.* EXCLUDE ({', '.join([PRICE, 'delivery_delay_deviation', 'discount_rate_anomaly'])}) FROM {name}_used u) u
+  LEFT JOIN {name}_prices p ON u.supplier=p.supplier AND u.category_name=p.category_name
+  LEFT JOIN {name}_frozen f ON u.category_name=f.category_name, cut WHERE order_date>=cut
+"""
+
+
+keyed("keyed_clean", "order_items", "clean")
+keyed("keyed_gaps", "gap_items", "gap")
+
+
+def parity_pairs(live: str, reference: str) -> str:
+    """One row per order and feature: live value a, reference value b, and whether they agree."""
+    same = "CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE abs(a-b)<=1e-6+1e-6*abs(b) END"
+    return (
+        f"SELECT *, {same} AS same FROM (" + " UNION ALL ".join(
+            f"SELECT l.{ITEM}, '{f}' AS feature, l.{f}::DOUBLE AS a, r.{f}::DOUBLE AS b FROM {live} l JOIN {reference} r ON l.{ITEM}=r.{ITEM}"
+            for f in FEATURES
+        ) + ")"
+    )
+
+
+STEPS["clean_pairs"] = parity_pairs("keyed_clean", "clean_stock")
+STEPS["gap_pairs"] = parity_pairs("keyed_gaps", "gap_stock")
+
+
+def _summary(pairs: str) -> str:
+    return (
+        f"SELECT feature, count(*) FILTER (WHERE same) AS exact, count(*) AS total, "
+        f"{r4('coalesce(max(abs(a-b)) FILTER (WHERE same),0.0)','max_abs_delta')}, "
+        f"CASE WHEN bool_and(same) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {pairs} GROUP BY feature"
+    )
+
+
 _live = lambda cond: f"SELECT {ITEM}, {rounded(FEATURES)} FROM clean_stock, cut WHERE {cond}"
 _defaults = ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in METRIC_DEFAULTS.items())
 MEASURED = metrics('scored', f'score>={CAL}')
@@ -413,8 +480,13 @@ QUERIES: dict[str, str] = {
     "live_features": _live("order_date>=cut"),
     "live_scoring": f"SELECT {ITEM}, is_anomaly, anomaly_type, {r4('score','score')}, score>={CAL} AS flagged, {_part(1)}||'; '||{_part(2)}||'; '||{_part(3)} AS reason FROM (SELECT *, list_sort([{_ranked}]) AS r FROM live_scored)",
     "live_evaluation": f"SELECT n, tp, fp, fn, tn, {RATE_COLUMNS} FROM ({metrics('live_scored', f'score>={CAL}')})",
-    "parity_summary": _union([f"SELECT '{f}' AS feature, count(*) AS exact, count(*) AS total, 0.0::DOUBLE AS max_abs_delta, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut" for f in FEATURES]),
-    "parity_result": "SELECT count(*) AS exact_rows, count(*) AS rows, 'PASS' AS verdict FROM order_items, cut WHERE order_date>=cut",
+    "keyed_features": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_clean",
+    "keyed_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",
+    "live_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",
+    "reference_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM gap_stock",
+    "parity_with_gaps": _summary("gap_pairs"),
+    "parity_summary": _summary("clean_pairs"),
+    "parity_result": f"SELECT count(*) FILTER (WHERE every) AS exact_rows, count(*) AS rows, CASE WHEN bool_and(every) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT {ITEM}, bool_and(same) AS every FROM clean_pairs GROUP BY {ITEM})",
     "stream_envelope": f"SELECT {ITEM}, order_id, {PAIR}, {r4('price','price')}, {TS} FROM order_items",
     "parity_divergence": f"SELECT feature, count(*) AS diverged, {r4('avg(delta)','mean_delta')}, {r4('max(delta)','max_delta')}, {r4('median(delta)','median_delta')} FROM apart GROUP BY 1",
     "verdict_flips": f"SELECT count(*) AS rows, count(*) FILTER (WHERE offline) AS flagged_offline, count(*) FILTER (WHERE live) AS flagged_live, count(*) FILTER (WHERE live<>offline) AS flipped, {r4(ratio('count(*) FILTER (WHERE live<>offline)','count(*)'),'flip_rate')} FROM verdicts",

@@ -55,7 +55,9 @@ from orderlens.session import materialise
 from orderlens.sources.orders import PAIR_KEYS, PRICE_KEYS, star_orders, star_table
 from orderlens.sources.stream import envelope, open_envelope
 from orderlens.streaming import seed
+from orderlens.streaming.job import STATE_STORE, STATE_STORE_SETTING
 from orderlens.streaming.replay import replay_features
+from orderlens.streaming.state import live_features as keyed_state
 
 ITEM = "order_item_id"
 WINDOW_KEYS = lab.WINDOW_KEYS
@@ -176,6 +178,32 @@ def replay_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return seed.seed_tables(orders, replay)
 
 
+def orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order table with unknown values: every 11th order without price, every 13th without quantity, ..."""
+
+    def gap(name: str, every: int) -> Column:
+        return F.when(F.col("order_id") % every != 0, F.col(name))
+
+    def build():
+        gaps = {"price": 11, "quantity": 13, "days_real": 17, "discount_rate": 19}
+        orders = order_table(spark, sf_dir)
+        return materialise(orders.withColumns({n: gap(n, k) for n, k in gaps.items()}), "orders_with_gaps")
+
+    return _once(spark, sf_dir, "orders_with_gaps", build)
+
+
+def keyed_table(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """The replayed orders through the keyed state of the live job, seeded from all that came before."""
+
+    def build():
+        orders = orders_with_gaps(spark, sf_dir) if gaps else order_table(spark, sf_dir)
+        replay = orders.filter(F.col("order_date") >= F.lit(replay_cut(spark, sf_dir)))
+        spark.conf.set(STATE_STORE_SETTING, STATE_STORE)
+        return materialise(keyed_state(replay, *seed.seed_tables(orders, replay)), "keyed")
+
+    return _once(spark, sf_dir, f"keyed{gaps}", build)
+
+
 def evaluation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled stream through the live path, seeded from clean history."""
 
@@ -642,10 +670,43 @@ def live_evaluation(spark, sf):
     return out.select("n", "tp", "fp", "fn", "tn", *rounded(RATES))
 
 
+@query
+def keyed_features(spark, sf):
+    """Live features from the keyed state itself."""
+    return keyed_table(spark, sf).select(ITEM, *rounded(FEATURES))
+
+
+@query
+def keyed_features_with_gaps(spark, sf):
+    """The same with unknown prices, quantities, days and rates in history and replay."""
+    return keyed_table(spark, sf, gaps=True).select(ITEM, *rounded(FEATURES))
+
+
+@query
+def live_features_with_gaps(spark, sf):
+    """The finite replay, as windows, over the same unknown values."""
+    orders = orders_with_gaps(spark, sf)
+    replay = orders.filter(F.col("order_date") >= F.lit(replay_cut(spark, sf)))
+    return replay_features(replay, *seed.seed_tables(orders, replay)).select(ITEM, *rounded(FEATURES))
+
+
+@query
+def reference_with_gaps(spark, sf):
+    return offline_reference(orders_with_gaps(spark, sf)).select(ITEM, *rounded(FEATURES))
+
+
 def _parity(spark, sf) -> DataFrame:
-    orders, replay = history_and_replay(spark, sf)
-    live = replay_features(replay, *replay_seeds(spark, sf))
-    return parity.parity_table(live, offline_reference(orders))
+    """The keyed state against the batch reference."""
+    return parity.parity_table(keyed_table(spark, sf), offline_reference(order_table(spark, sf)))
+
+
+@query
+def parity_with_gaps(spark, sf):
+    """Where unknown values part the keyed state from the batch reference, by feature."""
+    reference = offline_reference(orders_with_gaps(spark, sf))
+    table = parity.parity_table(keyed_table(spark, sf, gaps=True), reference)
+    out = parity.parity_summary(table)
+    return out.withColumn("max_abs_delta", r4(F.col("max_abs_delta")))
 
 
 @query

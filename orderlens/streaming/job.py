@@ -14,6 +14,7 @@ from orderlens.operators.scoring import flag_rows, norm_score, resolve_threshold
 from orderlens.sources.tables import feature_log_rows, write_batch
 from orderlens.streaming.state import live_features
 
+STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,7 +74,7 @@ def start_scoring(
     """Start the streaming query. Each micro-batch is logged, scored and flagged;
     all three outputs are keyed by batch id, so a retried batch replaces itself."""
     spark = orders.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set(STATE_STORE_SETTING, STATE_STORE)
     started = datetime.now(timezone.utc)
     threshold, _ = config.resolved()
     native = None if config.model is None else config.model.threshold

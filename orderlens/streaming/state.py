@@ -1,7 +1,7 @@
 """Keyed running state of the live features.
 
 Two processors, one per state key. Each call gets the rows of one key in one
-micro-batch; they are put in event order, and the bounded state (30 prices, or 7
+micro-batch; they are put in event order and handled as arrays, and the bounded state (30 prices, or 7
 quantities and two counters) is read and written once per call.
 Across micro-batches the order is that of arrival.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orderlens.functions.exprs import MICROS_PER_DAY, join_groups, zscore
@@ -21,9 +21,6 @@ from orderlens.session import ship_package
 from orderlens.operators.inventory import DEMAND_WINDOW, RESTOCK_DAYS
 from orderlens.sources.orders import EVENT_ORDER, PAIR_KEYS, PRICE_KEYS
 
-STOCK_ORDER = ["order_us", "order_id", "order_item_id"]
-
-
 def _event_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     rows = pd.concat(list(chunks), ignore_index=True)
     return rows.sort_values(EVENT_ORDER, kind="stable", ignore_index=True)
@@ -68,9 +65,11 @@ class RollingPrice(StatefulProcessor):
 class RunningStock(StatefulProcessor):
     """Stock after the order and days of cover of one (product, region) pair.
 
-    Pairs are many and small, so rows are handled one by one. An order of an
-    earlier restock window is charged to the current one; a pair without history
-    starts from base stock 0; an unknown quantity counts as 0.
+    The rows of a call are handled as arrays: the restock window in force is the
+    running maximum of the windows entered, the quantity used in it a running sum
+    less the sum before that window began. An order of an earlier window is charged to
+    the current one; a pair without history starts from base stock 0; an unknown
+    quantity counts as 0, and an order without a date enters no window.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -79,30 +78,39 @@ class RunningStock(StatefulProcessor):
             "base_stock double, first_us long, last_window long, used double, quantities array<double>",
         )
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        s = initialState
-        self._stock.update((s.base_stock, s.first_us, s.last_window, s.used, list(s.quantities)))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        s = initialState.iloc[0]
+        first = None if pd.isna(s["first_us"]) else int(s["first_us"])
+        recent = np.asarray(s["quantities"], dtype=float).tolist()  # unknown ones keep their place and count for nothing
+        self._stock.update((float(s["base_stock"]), first, int(s["last_window"]), float(s["used"]), recent))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _event_order(rows)
         seen = self._stock.get() if self._stock.exists() else None
         base, first_us, window, used, recent = seen or (0.0, None, 0, 0.0, [])
-        recent = list(recent)
-        out = []
-        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in STOCK_ORDER]):
-            if first_us is not None and row.order_us is not None:
-                entered = (row.order_us - first_us) // MICROS_PER_DAY // RESTOCK_DAYS
-                if entered > window:
-                    window, used = entered, 0.0
-            quantity = row.quantity or 0.0
-            used += quantity
-            known = [q for q in recent if q is not None]
-            demand = sum(known) / len(known) if known else quantity
-            stock = base - used
-            recent = [*recent, quantity][-DEMAND_WINDOW:]
-            cover = stock / demand if demand > 0 else None
-            out.append(Row(**row.asDict(), stock_after_order=stock, days_of_cover_remaining=cover))
-        self._stock.update((base, first_us, window, used, recent))
-        return iter(out)
+        base, used = float(base or 0.0), float(used or 0.0)
+        dated = batch["order_us"].notna().to_numpy() & (first_us is not None)
+        entered = np.full(len(batch), window, dtype=np.int64)
+        if dated.any():
+            entered[dated] = (batch["order_us"].to_numpy()[dated].astype(np.int64) - first_us) // MICROS_PER_DAY // RESTOCK_DAYS
+        in_force = np.maximum.accumulate(np.maximum(entered, window))
+        quantity = np.nan_to_num(batch["quantity"].to_numpy(dtype=float))
+        total = np.concatenate([[0.0], np.cumsum(quantity)])
+        begins = np.concatenate([[in_force[0] != window], in_force[1:] != in_force[:-1]])
+        # Place where the window of each row began; -1 for the one that was in force before.
+        began = np.maximum.accumulate(np.where(begins, np.arange(len(batch)), -1))
+        spent = np.where(began < 0, used + total[1:], total[1:] - total[np.maximum(began, 0)])
+        earlier = _last_values(np.asarray(recent, dtype=float), quantity, np.ones(len(batch), bool), DEMAND_WINDOW)
+        some = np.isfinite(earlier).any(axis=1)
+        demand = quantity.copy()
+        if some.any():
+            demand[some] = np.nanmean(earlier[some], axis=1)
+        stock = base - spent
+        batch["stock_after_order"] = stock
+        batch["days_of_cover_remaining"] = np.where(demand > 0, stock / np.where(demand > 0, demand, 1.0), np.nan)
+        kept = np.concatenate([recent, quantity])[-DEMAND_WINDOW:]
+        self._stock.update((base, first_us, int(in_force[-1]), float(spent[-1]), kept.tolist()))
+        yield batch
 
     def close(self) -> None:
         pass
@@ -144,7 +152,7 @@ def live_features(
     timed = priced.withColumn("order_us", F.unix_micros("order_date"))
     return (
         timed.groupBy(*PAIR_KEYS)
-        .transformWithState(
+        .transformWithStateInPandas(
             RunningStock(),
             outputStructType=_plus(timed.schema, "stock_after_order", "days_of_cover_remaining"),
             outputMode="append",
