@@ -441,40 +441,53 @@ _c = lambda n: f"(CASE WHEN ({n})=2 THEN 1.0 WHEN ({n})>2 THEN 2*(ln(({n})-1)+0.
 _vector = "[" + ", ".join(f"floor({c}*1000000+0.5)/1000000" for c in SCALED) + "]"
 
 STEPS["forest_all"] = f"SELECT {ITEM}, split, is_anomaly, anomaly_type, row_number() OVER (ORDER BY {ITEM}) AS rid, {_vector} AS x FROM scored"
-STEPS["forest_train"] = f"SELECT {ITEM}, x FROM forest_all WHERE split='train'"
-STEPS["forest_size"] = "SELECT least(1.0, 512.0/count(*))::DOUBLE AS share, floor(1/least(1.0, 512.0/count(*)))::BIGINT AS per FROM forest_train"
-STEPS["forest_sample"] = f"""
-SELECT tree, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {h60('rank', f'tree, {ITEM}')}, {ITEM}) AS rn
-  FROM (SELECT *, turn*per+place AS tree FROM (SELECT t.*, per, turn, floor({u('tree', f'turn, {ITEM}')}/share)::BIGINT AS place
-    FROM forest_train t, forest_size, range({TREES}) r(turn) WHERE turn < ceil({TREES}/per::DOUBLE)) WHERE place<per) WHERE tree<{TREES}) WHERE rn<=256
-"""
-for _d in range(DEPTH + 1):
-    STEPS[f"grown_{_d}"] = (
-        "SELECT tree, 1::BIGINT AS node, x FROM forest_sample" if _d == 0 else
-        f"SELECT g.tree, 2*g.node+(x[feature]>cut)::BIGINT AS node, x FROM grown_{_d - 1} g JOIN parted_{_d - 1} p "
-        "ON g.tree=p.tree AND g.node=p.node WHERE feature>0"
-    )
-    STEPS[f"parted_{_d}"] = f"""
-SELECT tree, node, rows, feature, CASE WHEN feature>0 THEN least_x[feature]+(most_x[feature]-least_x[feature])*{u('cut', 'tree, node')} ELSE 0.0 END AS cut,
-  CASE WHEN feature>0 THEN 0 ELSE floor(({_d}+{_c('rows')})*1000000+0.5)::BIGINT END AS path
-FROM (SELECT *, CASE WHEN {_d}<{DEPTH} AND rows>1 AND len(usable)>0 THEN usable[1+{h60('split', 'tree, node')}%len(usable)] ELSE 0 END AS feature
-  FROM (SELECT *, list_filter(range(1,{len(SCALED) + 1}), lambda i: most_x[i]>least_x[i]) AS usable
-    FROM (SELECT tree, node, count(*) AS rows, [{', '.join(f'min(x[{i + 1}])' for i in range(len(SCALED)))}] AS least_x,
-      [{', '.join(f'max(x[{i + 1}])' for i in range(len(SCALED)))}] AS most_x FROM grown_{_d} GROUP BY tree, node)))
-"""
-STEPS["forest_nodes"] = " UNION ALL ".join(f"SELECT tree, node, feature, cut, path FROM parted_{d}" for d in range(DEPTH + 1))
-#: A tree as three lists by node number, so that a walk is list lookups: f feature, k cut, w path.
-STEPS["forest_trees"] = f"""
-SELECT tree, list(coalesce(feature,0) ORDER BY n) AS f, list(coalesce(cut,0.0) ORDER BY n) AS k, list(coalesce(path,0) ORDER BY n) AS w
-FROM (SELECT t.tree, n.n, p.feature, p.cut, p.path FROM range({TREES}) t(tree) CROSS JOIN range(1, {2 << DEPTH}) n(n)
-  LEFT JOIN forest_nodes p ON p.tree=t.tree AND p.node=n.n) GROUP BY tree
-"""
-_walk = "SELECT rid, x, f, k, w, 1::BIGINT AS node FROM forest_all CROSS JOIN forest_trees"
-for _d in range(DEPTH):
-    _walk = f"SELECT rid, x, f, k, w, CASE WHEN f[node]>0 THEN 2*node+(x[f[node]]>k[node])::BIGINT ELSE node END AS node FROM ({_walk})"
-STEPS["forest_scores"] = f"""
-SELECT rid, pow(2.0, -(sum(w[node])::DOUBLE/{TREES})/({_c('256')}*1000000)) AS score FROM ({_walk}) GROUP BY rid
-"""
+
+
+def forest(name: str, where: str) -> None:
+    """Steps {name}_train to {name}_trees: the forest of the rows of forest_all that ``where`` keeps."""
+    STEPS[f"{name}_train"] = f"SELECT {ITEM}, x FROM forest_all WHERE {where}"
+    STEPS[f"{name}_size"] = f"SELECT least(1.0, 512.0/count(*))::DOUBLE AS share, floor(1/least(1.0, 512.0/count(*)))::BIGINT AS per FROM {name}_train"
+    STEPS[f"{name}_sample"] = f"""
+    SELECT tree, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {h60('rank', f'tree, {ITEM}')}, {ITEM}) AS rn
+      FROM (SELECT *, turn*per+place AS tree FROM (SELECT t.*, per, turn, floor({u('tree', f'turn, {ITEM}')}/share)::BIGINT AS place
+        FROM {name}_train t, {name}_size, range({TREES}) r(turn) WHERE turn < ceil({TREES}/per::DOUBLE)) WHERE place<per) WHERE tree<{TREES}) WHERE rn<=256
+    """
+    for _d in range(DEPTH + 1):
+        STEPS[f"{name}_grown_{_d}"] = (
+            f"SELECT tree, 1::BIGINT AS node, x FROM {name}_sample" if _d == 0 else
+            f"SELECT g.tree, 2*g.node+(x[feature]>cut)::BIGINT AS node, x FROM {name}_grown_{_d - 1} g JOIN {name}_parted_{_d - 1} p "
+            "ON g.tree=p.tree AND g.node=p.node WHERE feature>0"
+        )
+        STEPS[f"{name}_parted_{_d}"] = f"""
+    SELECT tree, node, rows, feature, CASE WHEN feature>0 THEN least_x[feature]+(most_x[feature]-least_x[feature])*{u('cut', 'tree, node')} ELSE 0.0 END AS cut,
+      CASE WHEN feature>0 THEN 0 ELSE floor(({_d}+{_c('rows')})*1000000+0.5)::BIGINT END AS path
+    FROM (SELECT *, CASE WHEN {_d}<{DEPTH} AND rows>1 AND len(usable)>0 THEN usable[1+{h60('split', 'tree, node')}%len(usable)] ELSE 0 END AS feature
+      FROM (SELECT *, list_filter(range(1,{len(SCALED) + 1}), lambda i: most_x[i]>least_x[i]) AS usable
+        FROM (SELECT tree, node, count(*) AS rows, [{', '.join(f'min(x[{i + 1}])' for i in range(len(SCALED)))}] AS least_x,
+          [{', '.join(f'max(x[{i + 1}])' for i in range(len(SCALED)))}] AS most_x FROM {name}_grown_{_d} GROUP BY tree, node)))
+    """
+    STEPS[f"{name}_nodes"] = " UNION ALL ".join(f"SELECT tree, node, feature, cut, path FROM {name}_parted_{d}" for d in range(DEPTH + 1))
+    #: A tree as three lists by node number, so that a walk is list lookups: f feature, k cut, w path.
+    STEPS[f"{name}_trees"] = f"""
+    SELECT tree, list(coalesce(feature,0) ORDER BY n) AS f, list(coalesce(cut,0.0) ORDER BY n) AS k, list(coalesce(path,0) ORDER BY n) AS w
+    FROM (SELECT t.tree, n.n, p.feature, p.cut, p.path FROM range({TREES}) t(tree) CROSS JOIN range(1, {2 << DEPTH}) n(n)
+      LEFT JOIN {name}_nodes p ON p.tree=t.tree AND p.node=n.n) GROUP BY tree
+    """
+
+
+def walked(rows: str, name: str) -> str:
+    """Query of rid and score: every row of ``rows`` (rid, x) down every tree of a forest."""
+    walk = f"SELECT rid, x, f, k, w, 1::BIGINT AS node FROM {rows} CROSS JOIN {name}_trees"
+    for _ in range(DEPTH):
+        walk = f"SELECT rid, x, f, k, w, CASE WHEN f[node]>0 THEN 2*node+(x[f[node]]>k[node])::BIGINT ELSE node END AS node FROM ({walk})"
+    return f"SELECT rid, pow(2.0, -(sum(w[node])::DOUBLE/{TREES})/({_c('256')}*1000000)) AS score FROM ({walk}) GROUP BY rid"
+
+
+forest("forest", "split='train'")
+forest("forest_full", "true")
+STEPS["forest_scores"] = walked("forest_all", "forest")
+STEPS["forest_full_scores"] = walked("forest_all", "forest_full")
+STEPS["full_scored"] = "SELECT a.*, score FROM forest_all a JOIN forest_full_scores s ON a.rid=s.rid"
 STEPS["forest_scored"] = "SELECT a.*, score FROM forest_all a JOIN forest_scores s ON a.rid=s.rid"
 STEPS["forest_limit"] = "SELECT quantile_cont(score, 0.935) AS forest_limit FROM forest_scored WHERE split='train'"
 STEPS["forest_flagged"] = "SELECT *, score>forest_limit AS flagged FROM forest_scored, forest_limit"
@@ -528,6 +541,7 @@ QUERIES: dict[str, str] = {
     "forest_metrics": f"SELECT n, tp, fp, fn, tn, {RATE_COLUMNS} FROM ({metrics('forest_flagged', 'flagged')})",
     "forest_recall_by_type": _union([f"SELECT '{t}' AS anomaly_type, n_{t} AS true_count, tp_{t} AS true_positives, {r4(ratio(f'tp_{t}', f'n_{t}'),'recall')} FROM ({metrics('forest_flagged', 'flagged')})" for t in TYPES]),
     "forest_sweep": _sweep("forest_scored", ["0.4", "0.45", "0.5", "0.55", "0.6"]),
+    "full_data_model": " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_sweep(f'{m}_scored', ['0.45', '0.5', '0.55'])})" for m in ("forest", "full")),
     "keyed_features": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_clean",
     "keyed_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",
     "live_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",
@@ -596,7 +610,7 @@ def compose(query: str) -> str:
     order = _ordered(needed)
     if not order:
         return query
-    kept = lambda n: " MATERIALIZED" if n.startswith(("forest", "grown", "parted")) else ""
+    kept = lambda n: " MATERIALIZED" if n.startswith(("forest", "full_scored")) else ""
     steps = ",\n".join(f"{n} AS{kept(n)} ({STEPS[n].strip()})" for n in order)
     return f"WITH {steps}\n{query}"
 

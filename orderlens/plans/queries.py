@@ -628,6 +628,9 @@ def lof_scores(spark, sf):
     return out.select(ITEM, "anomaly_type", "score", (F.col("score") > model.threshold).alias("flagged"))
 
 
+FULL_SWEEP = [0.45, 0.5, 0.55]
+
+
 def _six(rows: DataFrame) -> DataFrame:
     """Scaled features to six places, so that sums of another order give the same cuts."""
     return rows.withColumns({c: F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000 for c in SCALED})
@@ -649,6 +652,15 @@ def iforest_scores(spark, sf):
     return forest_scored(spark, sf).select(ITEM, "anomaly_type", r4("score"), "flagged")
 
 
+@query
+def full_data_model(spark, sf):
+    """The deployed forest, of training normals, against one of all rows: the same sweep for both."""
+    rows = materialise(_six(scored_table(spark, sf).drop("score")), "all_rows")
+    models = {"forest": forest_scored(spark, sf), "full": score_forest(fit_forest(rows), rows)}
+    swept = [ev.threshold_sweep(scored, FULL_SWEEP).withColumn("model", F.lit(name)) for name, scored in models.items()]
+    return swept[0].unionByName(swept[1]).select("model", *_sweep_columns([]))
+
+
 @query
 def forest_metrics(spark, sf):
     """Precision, recall and rates of the forest's own flags."""
