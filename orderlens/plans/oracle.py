@@ -493,6 +493,11 @@ STEPS["forest_limit"] = "SELECT quantile_cont(score, 0.935) AS forest_limit FROM
 STEPS["forest_flagged"] = "SELECT *, score>forest_limit AS flagged FROM forest_scored, forest_limit"
 
 
+STEPS["keyed_scored"] = scaled_sql("keyed_clean")
+STEPS["keyed_rows"] = f"SELECT {ITEM}, row_number() OVER (ORDER BY {ITEM}) AS rid, {_vector} AS x FROM keyed_scored"
+STEPS["keyed_walked"] = walked("keyed_rows", "forest")
+STEPS["keyed_orders"] = f"SELECT {ITEM}, order_id FROM order_items"
+
 _live = lambda cond: f"SELECT {ITEM}, {rounded(FEATURES)} FROM clean_stock, cut WHERE {cond}"
 _defaults = ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in METRIC_DEFAULTS.items())
 MEASURED = metrics('scored', f'score>={CAL}')
@@ -542,6 +547,9 @@ QUERIES: dict[str, str] = {
     "forest_recall_by_type": _union([f"SELECT '{t}' AS anomaly_type, n_{t} AS true_count, tp_{t} AS true_positives, {r4(ratio(f'tp_{t}', f'n_{t}'),'recall')} FROM ({metrics('forest_flagged', 'flagged')})" for t in TYPES]),
     "forest_sweep": _sweep("forest_scored", ["0.4", "0.45", "0.5", "0.55", "0.6"]),
     "full_data_model": " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_sweep(f'{m}_scored', ['0.45', '0.5', '0.55'])})" for m in ("forest", "full")),
+    "scoring_job": f"SELECT k.{ITEM}, order_id::VARCHAR AS order_id, {r4('score', 'anomaly_score')} FROM keyed_walked w JOIN keyed_rows k ON w.rid=k.rid JOIN keyed_orders o ON o.{ITEM}=k.{ITEM}, forest_limit WHERE score>forest_limit",
+    "scoring_log": f"SELECT k.{ITEM}, order_id::VARCHAR AS order_id, {rounded(FEATURES)} FROM keyed_clean k JOIN keyed_orders o ON o.{ITEM}=k.{ITEM}",
+    "scoring_run": "SELECT 'ForestModel' AS model_name, NULL::DOUBLE AS threshold, 'model-predict' AS threshold_source, count(*)::BIGINT AS orders_processed, 2::BIGINT AS batches FROM keyed_clean",
     "keyed_features": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_clean",
     "keyed_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",
     "live_features_with_gaps": f"SELECT {ITEM}, {rounded(FEATURES)} FROM keyed_gaps",

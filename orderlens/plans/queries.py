@@ -7,6 +7,7 @@ shared folder, like the tables of a real deployment, and read from there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -51,11 +52,12 @@ from orderlens.operators.scaling import (
     with_split,
 )
 from orderlens.operators.scoring import flag_rows, norm_score
-from orderlens.session import materialise
+from orderlens.session import materialise, shared_dir
 from orderlens.sources.orders import PAIR_KEYS, PRICE_KEYS, star_orders, star_table
-from orderlens.sources.stream import envelope, open_envelope
+from orderlens.sources.stream import envelope, open_envelope, read_files
+from orderlens.sources.tables import read_feature_log, read_flags
 from orderlens.streaming import seed
-from orderlens.streaming.job import STATE_STORE, STATE_STORE_SETTING
+from orderlens.streaming.job import STATE_STORE, STATE_STORE_SETTING, ScoringConfig, run_record, start_scoring
 from orderlens.streaming.replay import replay_features
 from orderlens.streaming.state import live_features as keyed_state
 
@@ -631,17 +633,16 @@ def lof_scores(spark, sf):
 FULL_SWEEP = [0.45, 0.5, 0.55]
 
 
-def _six(rows: DataFrame) -> DataFrame:
-    """Scaled features to six places, so that sums of another order give the same cuts."""
-    return rows.withColumns({c: F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000 for c in SCALED})
+def fitted_forest(spark, sf):
+    return _once(spark, sf, "forest", lambda: fit_forest(_train_matrix(spark, sf)))
 
 
 def forest_scored(spark, sf) -> DataFrame:
     """All labelled orders with the score and the flag of a forest of the training normals."""
 
     def build():
-        model = fit_forest(materialise(_six(_train_matrix(spark, sf)), "forest_train"))
-        out = score_forest(model, _six(scored_table(spark, sf).drop("score")))
+        model = fitted_forest(spark, sf)
+        out = score_forest(model, scored_table(spark, sf).drop("score"))
         return materialise(out.withColumn("flagged", F.col("score") > model.threshold), "forest_scored")
 
     return _once(spark, sf, "forest_scored", build)
@@ -655,7 +656,7 @@ def iforest_scores(spark, sf):
 @query
 def full_data_model(spark, sf):
     """The deployed forest, of training normals, against one of all rows: the same sweep for both."""
-    rows = materialise(_six(scored_table(spark, sf).drop("score")), "all_rows")
+    rows = scored_table(spark, sf).drop("score")
     models = {"forest": forest_scored(spark, sf), "full": score_forest(fit_forest(rows), rows)}
     swept = [ev.threshold_sweep(scored, FULL_SWEEP).withColumn("model", F.lit(name)) for name, scored in models.items()]
     return swept[0].unionByName(swept[1]).select("model", *_sweep_columns([]))
@@ -741,6 +742,45 @@ def reference_with_gaps(spark, sf):
     return offline_reference(orders_with_gaps(spark, sf)).select(ITEM, *rounded(FEATURES))
 
 
+def scored_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a scoring run over the replay: message files in two parts, the job stopped and restarted between them."""
+
+    def build():
+        orders, replay = history_and_replay(spark, sf_dir)
+        folder = f"{shared_dir(spark)}/scoring-{uuid.uuid4().hex}"
+        config = ScoringConfig(fitted_scaler(spark, sf_dir), fitted_forest(spark, sf_dir), f"{folder}/out")
+        seeds = replay_seeds(spark, sf_dir)
+        later = F.col("order_date") >= F.lit(replay_cut(spark, sf_dir) + timedelta(days=700))
+        for part in (replay.filter(~later), replay.filter(later)):
+            envelope(part, "order_id").write.mode("append").text(f"{folder}/in")
+            arriving = read_files(spark, f"{folder}/in", files_per_trigger=1_000_000)
+            start_scoring(arriving, seeds, config, f"{folder}/progress", available_now=True).awaitTermination()
+        return folder
+
+    return _once(spark, sf_dir, "scored_stream", build)
+
+
+@query
+def scoring_job(spark, sf):
+    """Flags of the streaming job: message files, keyed state, forest, flag table."""
+    flags = read_flags(spark, f"{scored_stream(spark, sf)}/out/flags")
+    return flags.select(ITEM, "order_id", r4("anomaly_score"))
+
+
+@query
+def scoring_log(spark, sf):
+    """The feature log of the same run: every order, flagged or not."""
+    log = read_feature_log(spark, f"{scored_stream(spark, sf)}/out/features")
+    return log.select(ITEM, "order_id", *[r4(F.col(f"features.{f}")).alias(f) for f in FEATURES])
+
+
+@query
+def scoring_run(spark, sf):
+    """The record of the same run."""
+    record = run_record(spark, f"{scored_stream(spark, sf)}/out")
+    return record.select("model_name", "threshold", "threshold_source", "orders_processed", "batches")
+
+
 def _parity(spark, sf) -> DataFrame:
     """The keyed state against the batch reference."""
     return parity.parity_table(keyed_table(spark, sf), offline_reference(order_table(spark, sf)))

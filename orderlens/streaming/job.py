@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.operators.iforest import ForestModel, score_forest
+from orderlens.operators.iforest import ForestModel, forest_scorer
 from orderlens.operators.lof import LofModel, score_lof
 from orderlens.operators.scaling import Scaler, apply_scaler
 from orderlens.operators.scoring import flag_rows, norm_score, resolve_threshold
@@ -32,14 +33,15 @@ class ScoringConfig:
         return resolve_threshold(self.threshold, self.manifest)
 
 
-def score(features: DataFrame, scaler: Scaler, model: LofModel | ForestModel | None) -> DataFrame:
-    """Scale and score; without a model the score is the scaled length."""
-    scaled = apply_scaler(features, scaler)
-    if isinstance(model, LofModel):
-        return score_lof(model, scaled)
-    if isinstance(model, ForestModel):
-        return score_forest(model, scaled)
-    return norm_score(scaled)
+def scorer(spark: SparkSession, config: ScoringConfig) -> Callable[[DataFrame], DataFrame]:
+    """What scales and scores a table; prepared once a run. Without a model the score is the scaled length."""
+    scale = lambda features: apply_scaler(features, config.scaler)
+    if isinstance(config.model, LofModel):
+        return lambda features: score_lof(config.model, scale(features))
+    if isinstance(config.model, ForestModel):
+        walk = forest_scorer(config.model, spark)
+        return lambda features: walk(scale(features))
+    return lambda features: norm_score(scale(features))
 
 
 def flag_table(scored: DataFrame, now: datetime) -> DataFrame:
@@ -81,6 +83,8 @@ def start_scoring(
     if threshold is None and native is None:
         raise ValueError("no threshold: give one, a manifest, or a model")
 
+    score = scorer(spark, config)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         now = datetime.now(timezone.utc)
         # The log is written first and read back, so the state advances once.
@@ -89,7 +93,7 @@ def start_scoring(
             f"{config.output}/featured/part={batch_id}"
         )
         write_batch(feature_log_rows(featured, now), f"{config.output}/features", batch_id, "json")
-        scored = flag_rows(score(featured, config.scaler, config.model), threshold, native)
+        scored = flag_rows(score(featured), threshold, native)
         write_batch(flag_table(scored, now), f"{config.output}/flags", batch_id)
         state = run_state(batch.sparkSession, config, started, now, featured.count())
         write_batch(state, f"{config.output}/runs", batch_id)
@@ -103,3 +107,17 @@ def start_scoring(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def run_record(spark: SparkSession, output: str) -> DataFrame:
+    """One row a run: its threshold and where it came from, first start, last order, orders so far.
+
+    Batches are stored by their id, so one that was tried again counts once.
+    """
+    batches = spark.read.parquet(f"{output}/runs")
+    return batches.groupBy("model_name", "threshold", "threshold_source").agg(
+        F.min("started_at").alias("started_at"),
+        F.max("last_processed_at").alias("last_processed_at"),
+        F.sum("orders_processed").alias("orders_processed"),
+        F.count("*").alias("batches"),
+    )
