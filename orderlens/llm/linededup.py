@@ -265,7 +265,9 @@ def probe(state: LineState, rows: DataFrame, kind: str) -> DataFrame:
     rows = rows.withColumn("shard", _shard(state.shards))
     sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     sizes = materialise(sizes, "line-shards")
-    dealt = rows.join(sizes, "shard").withColumn("part", F.floor(F.rand(7) * F.col("parts")).cast("int")).drop("parts")
+    # By the row itself: a recomputed task deals its rows to the same parts.
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("parts")).cast("int")
+    dealt = rows.join(sizes, "shard").withColumn("part", part).drop("parts")
     copies = (
         state.filters.filter(F.col("kind") == kind)
         .join(sizes, "shard")
