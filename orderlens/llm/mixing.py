@@ -214,9 +214,9 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Every document as often as its copies say; columns of ``docs``."""
     times = mixed.filter("copies != 1").select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "copies"
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")
     ).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    copies = F.coalesce("copies", F.lit(1))
+    copies = F.coalesce("__copies", F.lit(1))
     return joined.filter(copies > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
