@@ -28,9 +28,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every shared line stays in the smallest doc_id holding it; n_chars counts what is left."""
-    cleaned = linededup.dedup_lines(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # Other columns travel in one, so that none can clash with what the operator adds.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("__others"))
+    cleaned = linededup.dedup_lines(packed)
+    new = {c: F.col("__others").getField(c) for c in others}
+    new |= {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return cleaned.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Neither the fitted classifiers nor the byte-level merges are SQL; tests/llm holds the stages against brute force.
+#: Neither the fitted classifiers nor the byte-level merges are SQL. The operators are tested one by one in tests/llm.
 ORACLE_SQL = None
 
 
