@@ -3,7 +3,9 @@
 ``percentile`` keeps every distinct value of a group in one task, so it is used
 only while every group is known to be small. Beyond that a mergeable sketch
 brackets the wanted rank, values below the bracket are only counted, and the
-exact value is picked from the few distinct values inside it.
+exact value is picked from the few distinct values inside it. While more of them
+are inside than one task should sort, the bracket is cut into cells, the rows of
+each cell are counted, and only the cells that hold the rank stay.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from orderlens.functions.exprs import join_groups
 from orderlens.operators.ordered import MAX_GROUP_ROWS, groups_above
+from orderlens.session import materialise
 
 ACCURACY = 20_000
+PICKED_FROM = 200_000  # distinct values that one task sorts
+CELLS = 64
 
 
 def grouped_percentiles(
@@ -22,16 +27,17 @@ def grouped_percentiles(
     wanted: dict[str, tuple[str, float]],
     max_rows: int | None = None,
     accuracy: int = ACCURACY,
+    picked_from: int = PICKED_FROM,
 ) -> DataFrame:
     """One row per group with ``{name: (column, p)}`` percentiles; NULLs are left out."""
     max_rows = max_rows or MAX_GROUP_ROWS
     if not keys:
-        return _all_rows(df, wanted, max_rows, accuracy)
+        return _all_rows(df, wanted, max_rows, accuracy, picked_from)
     hot = groups_above(df, keys, max_rows)
     if hot is None:
         return _direct(df, keys, wanted)
     small = _direct(join_groups(df, hot, keys, "left_anti"), keys, wanted)
-    large = _bracketed(join_groups(df, hot, keys, "left_semi"), keys, wanted, accuracy)
+    large = _bracketed(join_groups(df, hot, keys, "left_semi"), keys, wanted, accuracy, picked_from)
     return small.unionByName(large)
 
 
@@ -48,15 +54,37 @@ def _direct(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]
     )
 
 
-def _all_rows(df, wanted, max_rows, accuracy) -> DataFrame:
+def _all_rows(df, wanted, max_rows, accuracy, picked_from) -> DataFrame:
     if df.count() <= max_rows:
         return _direct(df, [], wanted)
     tagged = df.withColumn("_all", F.lit(1))
-    return _bracketed(tagged, ["_all"], wanted, accuracy).drop("_all")
+    return _bracketed(tagged, ["_all"], wanted, accuracy, picked_from).drop("_all")
+
+
+def _narrowed(inside: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """``inside`` without the cells that do not hold the ranks; those below them join the count of the rows below.
+
+    Cells are cut by a sketch but counted exactly, so a poor cut costs a round, not the result.
+    """
+    edges = inside.filter("not below").groupBy(*by).agg(
+        F.percentile_approx("x", [i / CELLS for i in range(1, CELLS)], ACCURACY).alias("_edges")
+    )
+    cell = F.when(F.col("below"), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("x"))))
+    celled = join_groups(inside, edges, by).withColumn("_cell", cell).drop("_edges")
+    upto = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)  # at most CELLS + 1 rows
+    totals = celled.groupBy(*by, "_cell").agg(F.sum("_m").alias("_m")).withColumn("_upto", F.sum("_m").over(upto))
+    holds = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_cell")))
+    wanted = join_groups(totals, ranks, by).groupBy(*by).agg(
+        F.greatest(holds(F.floor("_rank")), F.lit(0)).alias("_from"), holds(F.ceil("_rank")).alias("_to")
+    )
+    kept = join_groups(celled, wanted, by).filter(F.col("_cell") <= F.col("_to"))
+    under = F.col("_cell") < F.col("_from")
+    kept = kept.select(*by, under.alias("below"), F.when(~under, F.col("x")).alias("x"), "_m")
+    return materialise(kept.groupBy(*by, "below", "x").agg(F.sum("_m").alias("_m")), "bracket")
 
 
 def _bracketed(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int, picked_from: int
 ) -> DataFrame:
     names = list(wanted)
     margin = 2.0 / accuracy
@@ -88,10 +116,7 @@ def _bracketed(
         .groupBy(*keys, "s.name", "s.below", "s.x")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    upto = W.partitionBy(*keys, "name").orderBy(F.desc("below"), "x").rowsBetween(
-        W.unboundedPreceding, 0
-    )
-    ranked = inside.withColumn("_upto", F.sum("_m").over(upto)).filter(~F.col("below"))
+    by = [*keys, "name"]
     sizes = bounds.select(
         *keys,
         F.explode(
@@ -103,8 +128,16 @@ def _bracketed(
             )
         ).alias("s"),
     ).select(*keys, "s.*")
-    rank = F.col("p") * (F.col("n") - 1)
-    placed = join_groups(ranked, sizes, [*keys, "name"]).withColumn("_rank", rank)
+    ranks = materialise(sizes.select(*by, (F.col("p") * (F.col("n") - 1)).alias("_rank")), "ranks")
+    inside = materialise(inside, "bracket")
+    most = lambda: inside.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    rows, before = most(), None
+    while rows > picked_from and rows != before:
+        inside = _narrowed(inside, ranks, by)
+        rows, before = most(), rows
+    upto = W.partitionBy(*by).orderBy(F.desc("below"), "x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.sum("_m").over(upto)).filter(~F.col("below"))
+    placed = join_groups(ranked, ranks, by)
     at = {
         "low": F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("x"))),
         "high": F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("x"))),

@@ -15,6 +15,7 @@ from orderlens.operators.features import (
 )
 from orderlens.operators.inventory import inventory_balance, offline_reference, pair_constants
 from orderlens.operators.ordered import ordered_groups
+from orderlens.operators import quantiles
 from orderlens.operators.quantiles import grouped_percentiles, percentile_values
 from orderlens.session import materialise
 from orderlens.sources.orders import EVENT_ORDER, ORDER_SCHEMA, PRICE_KEYS
@@ -143,6 +144,28 @@ def test_grouped_percentiles_with_hot_groups(skewed):
     assert np.allclose(x, y)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.935, 1.0])
+def test_percentiles_after_several_rounds(skewed, p, monkeypatch):
+    rounds = []
+    plain = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(quantiles, "CELLS", 4)
+    # A sketch this coarse brackets most of the values; one value makes up a third of the rows.
+    heavy = skewed.withColumn("price", F.when(F.col("order_id") % 3 == 0, F.lit(1000.0)).otherwise(F.col("price")))
+    got = grouped_percentiles(heavy, [], {"v": ("price", p)}, max_rows=100, accuracy=8, picked_from=20).first()["v"]
+    assert got == pytest.approx(np.percentile(heavy.select("price").toPandas()["price"], 100 * p))
+    assert len(rounds) >= 2
+
+
+def test_grouped_percentiles_after_several_rounds(skewed):
+    wanted = {"a": ("price", 0.5), "b": ("discount_rate", 0.9), "c": ("price", 0.99)}
+    got = grouped_percentiles(skewed, ["supplier"], wanted, max_rows=100, accuracy=8, picked_from=10)
+    direct = grouped_percentiles(skewed, ["supplier"], wanted)
+    x = got.toPandas().set_index("supplier").sort_index()
+    y = direct.toPandas().set_index("supplier").sort_index()
+    assert np.allclose(x, y)
+
+
 def test_dates_mixed_formats(spark):
     df = spark.createDataFrame([("1/31/2018 22:56",), ("2018-01-31 22:56:00",), ("soon",)], "d string")
     got = [r[0] for r in df.select(parse_order_date("d")).collect()]
