@@ -16,6 +16,7 @@ from orderlens.session import settle
 
 SEED = 42
 BUCKET_BITS = 16
+PART_ROWS = 100_000
 
 
 def hash_cuts(df: DataFrame, h: Column, id_col: str, ranks: list[int]) -> list[tuple[int, str]]:
@@ -133,6 +134,30 @@ def block_shuffle(
     )
 
 
+def block_places(
+    orders: DataFrame, days: int, id_col: str = "order_item_id", seed: int = SEED, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Add ``block`` and ``place``, the 1-based position of a row inside its shuffled block.
+
+    A block is cut by the leading bits of the hash into parts of about ``part_rows``
+    rows. Places count from the rows of the parts before, so no window holds a block and
+    nothing is sorted as a whole.
+    """
+    first = orders.agg(F.min(F.to_date("order_date")).alias("d")).first()["d"]
+    block = F.floor(F.datediff(F.to_date("order_date"), F.lit(first)) / days)
+    keyed = orders.withColumn("block", block).withColumn("_h", hash60(seed, "block", id_col))
+    largest = keyed.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    bits = max(math.ceil(largest / part_rows) - 1, 0).bit_length()
+    keyed = keyed.withColumn("_part", F.shiftright("_h", HASH_BITS - bits))
+    sizes = keyed.groupBy(F.col("block").alias("_block"), F.col("_part").alias("_in")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("_block").orderBy("_in").rowsBetween(W.unboundedPreceding, -1)
+    offsets = settle(sizes.select("_block", "_in", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    inside = F.row_number().over(W.partitionBy("block", "_part").orderBy("_h", id_col))
+    same = F.col("block").eqNullSafe(F.col("_block")) & (F.col("_part") == F.col("_in"))
+    placed = keyed.withColumn("_own", inside).join(offsets, same)
+    return placed.withColumn("place", F.col("_offset") + F.col("_own")).drop("_h", "_part", "_block", "_in", "_own", "_offset")
+
+
 def replay_order(orders: DataFrame, days: int = 0, max_rows: int | None = None) -> DataFrame:
     """Dated orders in replay order, optionally only the earliest ``max_rows``."""
     ordered = block_shuffle(orders.na.drop(subset=["order_date"]), days)

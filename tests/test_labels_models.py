@@ -11,6 +11,7 @@ from orderlens.operators.knn import build_tree
 from orderlens.operators.labels import ANOMALY_TYPES, anomaly_summary, label_check, label_subsets, labelled_orders
 from orderlens.operators.lof import fit_lof, score_lof
 from orderlens.operators.sampling import (
+    block_places,
     block_shuffle,
     disjoint_subsets,
     exact_sample,
@@ -117,6 +118,15 @@ def test_exact_sample_and_replay(orders):
     assert blocks == sorted(blocks)
 
 
+@pytest.mark.parametrize("part_rows", [5, 100_000])
+def test_block_places_follow_the_shuffle(orders, part_rows):
+    want = block_shuffle(orders, 30).select("order_item_id", "block").toPandas()
+    want["place"] = want.groupby("block").cumcount() + 1
+    got = block_places(orders, 30, part_rows=part_rows).select("order_item_id", "block", "place").toPandas()
+    by = ["block", "place"]
+    assert want.sort_values(by).values.tolist() == got.sort_values(by).values.tolist()
+
+
 def test_price_scale_chain(spark):
     def scale(values):
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
