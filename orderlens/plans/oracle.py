@@ -547,6 +547,14 @@ QUERIES: dict[str, str] = {
     "forest_recall_by_type": _union([f"SELECT '{t}' AS anomaly_type, n_{t} AS true_count, tp_{t} AS true_positives, {r4(ratio(f'tp_{t}', f'n_{t}'),'recall')} FROM ({metrics('forest_flagged', 'flagged')})" for t in TYPES]),
     "forest_sweep": _sweep("forest_scored", ["0.4", "0.45", "0.5", "0.55", "0.6"]),
     "full_data_model": " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_sweep(f'{m}_scored', ['0.45', '0.5', '0.55'])})" for m in ("forest", "full")),
+    "stored_model": f"SELECT {ITEM}, {r4('score','score')}, flagged, 1.0::DOUBLE AS f1 FROM forest_flagged",
+    "threshold_sources": _union([f"SELECT '{n}' AS source, count(*) FILTER (WHERE score{c}) AS flags FROM forest_scored, forest_limit" for n, c in (("env", ">=0.5"), ("manifest", ">=forest_limit"), ("model-predict", ">forest_limit"))]),
+    "csv_orders": f"SELECT order_id, {ITEM}, {PAIR}, supplier, category_name||' é, \"x\"' AS category_name, {r4('CASE WHEN order_id%11<>0 THEN price END','price')}, {rounded(['quantity','days_real'])}, {TS} FROM order_items WHERE order_id%13<>0",
+    "id_list": f"SELECT {ITEM} FROM order_items, cut WHERE order_date<cut",
+    "labelled_sink": f"SELECT order_id, {ITEM}, {rounded(LABELLED_DOUBLES)}, {TS}, is_anomaly, anomaly_type FROM labelled",
+    "first_flips": f"SELECT {ITEM}, live, offline, {rounded(['live_score','offline_score'])} FROM flips WHERE live<>offline ORDER BY {ITEM} LIMIT 8",
+    "flag_increments": _union([f"SELECT {i} AS look, {ITEM}, (order_id%3)::BIGINT AS batch_id FROM flagged WHERE {c}" for i, c in ((1, "order_id%3<2"), (2, "order_id%3=2"), (3, "order_id%3=0"))]),
+    "lof_products": f"SELECT g.p AS product_id, {r4('avg(d.lrd)/max(own.lrd)','score')} FROM profile_edges g JOIN profile_density d ON g.o=d.p JOIN profile_density own ON own.p=g.p GROUP BY g.p",
     "scoring_job": f"SELECT k.{ITEM}, order_id::VARCHAR AS order_id, {r4('score', 'anomaly_score')} FROM keyed_walked w JOIN keyed_rows k ON w.rid=k.rid JOIN keyed_orders o ON o.{ITEM}=k.{ITEM}, forest_limit WHERE score>forest_limit",
     "scoring_log": f"SELECT k.{ITEM}, order_id::VARCHAR AS order_id, {rounded(FEATURES)} FROM keyed_clean k JOIN keyed_orders o ON o.{ITEM}=k.{ITEM}",
     "scoring_run": "SELECT 'ForestModel' AS model_name, NULL::DOUBLE AS threshold, 'model-predict' AS threshold_source, count(*)::BIGINT AS orders_processed, 2::BIGINT AS batches FROM keyed_clean",
@@ -602,6 +610,26 @@ QUERIES: dict[str, str] = {
     "histogram": f"SELECT bin, {r4('low+bin*width','low')}, {r4('low+(bin+1)*width','high')}, count FROM (SELECT b.bin, low, width, count(o.bin) AS count FROM (SELECT unnest(range(25))::INTEGER AS bin) b LEFT JOIN (SELECT least(floor((price-low)/width),24)::INTEGER AS bin FROM order_items, ends) o ON b.bin=o.bin, ends GROUP BY ALL)",
     "top_values": "SELECT category_name AS value, count(*) AS count FROM order_items GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
 }
+STEPS["profile"] = """
+SELECT product_id, floor(avg(price)*0.01*1000000+0.5)/1000000 AS a, floor(avg(quantity)*0.1*1000000+0.5)/1000000 AS b,
+  floor(avg(discount_rate)*100*1000000+0.5)/1000000 AS c, floor(avg(days_real)*0.1*1000000+0.5)/1000000 AS d, count(*)::DOUBLE AS e
+FROM order_items GROUP BY 1
+"""
+#: Every product against every other; ties at the last place are broken by the coordinates.
+STEPS["profile_edges"] = """
+SELECT * FROM (SELECT p.product_id AS p, o.product_id AS o,
+    sqrt((p.a-o.a)*(p.a-o.a)+(p.b-o.b)*(p.b-o.b)+(p.c-o.c)*(p.c-o.c)+(p.d-o.d)*(p.d-o.d)+(p.e-o.e)*(p.e-o.e)) AS dist, o.a, o.b, o.c, o.d, o.e
+  FROM profile p JOIN profile o ON p.product_id<>o.product_id)
+QUALIFY row_number() OVER (PARTITION BY p ORDER BY dist, a, b, c, d, e)<=20
+"""
+STEPS["profile_reach"] = "SELECT p, max(dist) AS kdist FROM profile_edges GROUP BY p"
+STEPS["profile_density"] = """
+SELECT g.p, 1/(avg(greatest(r.kdist, g.dist))+1e-10) AS lrd FROM profile_edges g JOIN profile_reach r ON g.o=r.p GROUP BY g.p
+"""
+STEPS["flips"] = f"""
+SELECT {ITEM}, a.score>=threshold AS live, b.score>=threshold AS offline, a.score AS live_score, b.score AS offline_score
+FROM calibrated, shuffled_scored a JOIN clean_scored b USING ({ITEM})
+"""
 STEPS["ends"] = "SELECT min(price) AS low, (max(price)-min(price))/25 AS width FROM order_items"
 
 

@@ -36,9 +36,9 @@ from orderlens.operators.inventory import (
     pair_constants,
     with_restock_window,
 )
-from orderlens.operators.lof import fit_lof, score_lof
+from orderlens.operators.lof import fit_lof, score_lof, training_scores
 from orderlens.operators.quantiles import percentile_values
-from orderlens.operators.sampling import SEED, block_shuffle
+from orderlens.operators.sampling import SEED, block_places
 from orderlens.operators.scaling import (
     SCALED,
     SCALINGS,
@@ -51,11 +51,20 @@ from orderlens.operators.scaling import (
     train_rows,
     with_split,
 )
-from orderlens.operators.scoring import flag_rows, norm_score
+from orderlens.operators.scoring import flag_rows, flagged, norm_score, resolve_threshold
 from orderlens.session import materialise, shared_dir
-from orderlens.sources.orders import PAIR_KEYS, PRICE_KEYS, star_orders, star_table
+from orderlens.sources.orders import PAIR_KEYS, PRICE_KEYS, RAW_NAMES, dated_orders, read_orders_csv, star_orders, star_table
 from orderlens.sources.stream import envelope, open_envelope, read_files
-from orderlens.sources.tables import read_feature_log, read_flags
+from orderlens.sources.tables import (
+    FlagIncrements,
+    load_manifest,
+    load_model,
+    read_feature_log,
+    read_flags,
+    save_model,
+    write_batch,
+    write_table,
+)
 from orderlens.streaming import seed
 from orderlens.streaming.job import STATE_STORE, STATE_STORE_SETTING, ScoringConfig, run_record, start_scoring
 from orderlens.streaming.replay import replay_features
@@ -488,15 +497,9 @@ def native_space(spark, sf):
     return scored_table(spark, sf).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"), hit)
 
 
-@query
-def block_shuffle_order(spark, sf):
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("block").orderBy(hash60(SEED, "block", ITEM), ITEM))
-    return block_shuffle(order_table(spark, sf), 7).select(ITEM, "block", place.cast("bigint").alias("place"))
-
-
-QUERIES["block_shuffle"] = QUERIES.pop("block_shuffle_order")
+_orders_query(
+    "block_shuffle", lambda o: block_places(o, 7).select(ITEM, "block", F.col("place").cast("bigint").alias("place"))
+)
 
 
 @query
@@ -614,11 +617,18 @@ _orders_query("top_values", lambda o: eda.top_values(o, "category_name"))
 # --- models and parity: no SQL form, checked against brute force in tests ---------------
 
 
+def imputed_train(spark, sf) -> DataFrame:
+    """The training normals, unknown features filled with their medians."""
+    train = train_rows(labelled_table(spark, sf))
+    return impute(train, feature_medians(train))
+
+
 def _train_matrix(spark, sf) -> DataFrame:
-    return _once(
-        spark, sf, "train_scaled",
-        lambda: materialise(train_rows(scored_table(spark, sf)).select(ITEM, *SCALED), "train_scaled"),
-    )
+    def build():
+        scaled = apply_scaler(imputed_train(spark, sf), fitted_scaler(spark, sf))
+        return materialise(scaled.select(ITEM, *SCALED), "train_scaled")
+
+    return _once(spark, sf, "train_scaled", build)
 
 
 @query
@@ -686,7 +696,7 @@ def forest_sweep(spark, sf):
 def model_comparison(spark, sf):
     """Both models under the three scalings on the balanced test."""
     labelled, scaler = labelled_table(spark, sf), fitted_scaler(spark, sf)
-    train, test = train_rows(labelled), materialise(balanced_test(labelled), "balanced")
+    train, test = imputed_train(spark, sf), materialise(balanced_test(labelled), "balanced")
     rows = []
     for scaling in SCALINGS:
         fitted_on = materialise(apply_scaler(train, scaler, scaling).select(ITEM, *SCALED), "fit")
@@ -832,3 +842,119 @@ def stream_envelope(spark, sf):
     """Every order as a JSON message and back."""
     messages = envelope(order_table(spark, sf), "order_id")
     return open_envelope(messages).select(ITEM, "order_id", *PAIR_KEYS, r4("price"), text("order_date"))
+
+
+# --- sources, sinks and stores, written to the shared folder and read back ----------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_orders(spark, sf):
+    """Raw Latin-1 CSV with unreadable prices and dates, read leniently; undated orders are dropped."""
+    orders, path = order_table(spark, sf), _folder(spark, "raw")
+    cells = {c: F.col(c).cast("string") for c in RAW_NAMES}
+    cells["category_name"] = F.concat("category_name", F.lit(" \u00e9, \"x\""))
+    cells["price"] = F.when(F.col("order_id") % 11 == 0, F.lit("n/a")).otherwise(cells["price"])
+    shown = F.date_format("order_date", "M/d/yyyy HH:mm")
+    cells["order_date"] = F.when(F.col("order_id") % 13 == 0, F.lit("soon")).otherwise(shown)
+    raw = orders.select(*[cells[c].alias(title) for c, title in RAW_NAMES.items()])
+    raw.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    back = dated_orders(read_orders_csv(spark, path))
+    return back.select("order_id", ITEM, *PAIR_KEYS, *PRICE_KEYS, *rounded(["price", "quantity", "days_real"]), text("order_date"))
+
+
+@query
+def id_list(spark, sf):
+    """The ids of the replay as a stored list; history is what the list leaves."""
+    orders, replay = history_and_replay(spark, sf)
+    path = _folder(spark, "ids")
+    write_table(replay.select(ITEM), path, "csv")
+    stored = spark.read.option("header", True).schema(f"{ITEM} string").csv(path)
+    return seed.without_ids(orders, stored).select(ITEM)
+
+
+@query
+def labelled_sink(spark, sf):
+    """The labelled table as stored in CSV."""
+    labelled, path = labelled_table(spark, sf), _folder(spark, "labelled")
+    write_table(labelled, path, "csv")
+    back = spark.read.option("header", True).schema(labelled.schema).csv(path)
+    return back.select("order_id", ITEM, *rounded(LABELLED_DOUBLES), text("order_date"), "is_anomaly", "anomaly_type")
+
+
+def model_store(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with two published versions of the forest, the second one current."""
+
+    def build():
+        path, model, scaler = _folder(spark, "models"), fitted_forest(spark, sf_dir), fitted_scaler(spark, sf_dir)
+        for f1 in (0.0, 1.0):
+            save_model(spark, path, model, scaler, f1, 0.065)
+        return path
+
+    return _once(spark, sf_dir, "model_store", build)
+
+
+@query
+def stored_model(spark, sf):
+    """Scores of the current version as read back from the store, with its own scaler and threshold."""
+    model, scaler, manifest = load_model(spark, model_store(spark, sf))
+    out = score_forest(model, apply_scaler(labelled_table(spark, sf), scaler))
+    hit = (F.col("score") > manifest["threshold"]).alias("flagged")
+    return out.select(ITEM, r4("score"), hit, F.lit(manifest["f1"]).alias("f1"))
+
+
+@query
+def threshold_sources(spark, sf):
+    """Flags under a given threshold, the manifest's, and the model's own label."""
+    manifest, scored = load_manifest(spark, model_store(spark, sf)), forest_scored(spark, sf)
+    own = fitted_forest(spark, sf).threshold
+    counts, names = [], []
+    for override, known in ((0.5, manifest), (None, manifest), (None, {})):
+        threshold, source = resolve_threshold(override, known)
+        counts.append(F.count(F.when(flagged(F.col("score"), threshold, own), 1)))
+        names.append(source)
+    rows = [F.struct(F.lit(n).alias("source"), c.alias("flags")) for n, c in zip(names, counts, strict=True)]
+    return scored.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+@query
+def first_flips(spark, sf):
+    live = norm_score(apply_scaler(_shuffled(spark, sf), fitted_scaler(spark, sf)))
+    out = parity.flip_examples(live, clean_scored_table(spark, sf), _at(calibrated(spark, sf)))
+    return out.select(ITEM, "live", "offline", *rounded(["live_score", "offline_score"]))
+
+
+@query
+def flag_increments(spark, sf):
+    """Three looks at a growing flag table: two batches, one more, and the table started anew."""
+    flags, path = flagged_table(spark, sf), _folder(spark, "flags")
+    part = lambda n: flags.filter(F.col("order_id") % 3 == n)
+    looks = FlagIncrements(spark, path, _folder(spark, "looked"))
+    write_batch(part(0), path, 0)
+    write_batch(part(1), path, 1)
+    read = [looks.read()]
+    write_batch(part(2), path, 2)
+    read.append(looks.read())
+    anew = part(0).withColumns({"batch_id": F.lit(0).cast("bigint"), "part": F.lit(0)})
+    anew.write.mode("overwrite").partitionBy("part").parquet(path)
+    read.append(looks.read())
+    rows = [r.select(F.lit(i + 1).alias("look"), ITEM, "batch_id") for i, r in enumerate(read)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+PROFILE = ["price", "quantity", "discount_rate", "days_real", "orders"]
+
+
+@query
+def lof_products(spark, sf):
+    """LOF of every product among all products, by its mean order."""
+    mean = lambda c, scale: (F.floor(F.avg(c) * scale * 1_000_000 + 0.5) / 1_000_000).alias(c)
+    profile = order_table(spark, sf).groupBy("product_id").agg(
+        mean("price", 0.01), mean("quantity", 0.1), mean("discount_rate", 100.0), mean("days_real", 0.1),
+        F.count(F.lit(1)).cast("double").alias("orders"),
+    )
+    profile = materialise(profile, "profile")
+    return training_scores(fit_lof(profile, PROFILE), profile).select("product_id", r4("score"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orderlens.sources.orders import read_orders_csv, supplier_column, time_column, typed_orders
 from orderlens.sources.stream import PAYLOAD, envelope, open_envelope
-from orderlens.sources.tables import load_manifest, read_feature_log, read_flags, write_batch
+from orderlens.sources.tables import FlagIncrements, load_manifest, read_feature_log, read_flags, write_batch
 
 HEADER = (
     "Order Id,Order Item Id,Product Card Id,Order Region,Category Name,Order Item Product Price,"
@@ -62,6 +62,22 @@ def test_retried_batch_replaces_itself(spark, tmp_path):
     assert sorted(r["batch_id"] for r in read_flags(spark, path).collect()) == [0, 0, 1]
 
 
+def test_increments_take_each_batch_once(spark, tmp_path):
+    path, rows = str(tmp_path / "flags"), spark.createDataFrame([("a",), ("b",)], "order_item_id string")
+    looks = FlagIncrements(spark, path, str(tmp_path / "progress"))
+    seen = lambda: sorted((r["order_item_id"], r["batch_id"]) for r in looks.read().collect())
+    write_batch(rows, path, 0)
+    assert seen() == [("a", 0), ("b", 0)]
+    assert seen() == []
+    write_batch(rows, path, 0)  # a late retry of a batch that was read
+    write_batch(rows.limit(1), path, 1)
+    assert seen() == [("a", 1)]
+    rows.limit(1).selectExpr("*", "0L AS batch_id", "0 AS part").write.mode("overwrite").partitionBy("part").parquet(path)
+    looks = FlagIncrements(spark, path, str(tmp_path / "progress"))  # another process, the table started anew
+    assert seen() == [("a", 0)]
+    assert seen() == []
+
+
 def test_malformed_log_lines_are_skipped(spark, tmp_path):
     good = '{"timestamp":"2024-01-01T00:00:00.000Z","order_id":"1","row_index":0,"features":{"stock_after_order":1.0}}'
     (tmp_path / "log.json").write_text(good + "\n{broken\n" + good + "\n")
@@ -70,8 +86,11 @@ def test_malformed_log_lines_are_skipped(spark, tmp_path):
 
 def test_manifest_missing_or_broken(spark, tmp_path):
     assert load_manifest(spark, str(tmp_path / "none")) is None
-    (tmp_path / "m" / "manifest").mkdir(parents=True)
-    (tmp_path / "m" / "manifest" / "part.txt").write_text("{oops\n")
+    broken = tmp_path / "m" / "manifest" / "00000001-a"
+    broken.mkdir(parents=True)
+    (broken / "part.txt").write_text("{oops\n")
+    assert load_manifest(spark, str(tmp_path / "m")) is None  # not whole: not seen, no warning
+    (broken / "_SUCCESS").write_text("")
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
         assert load_manifest(spark, str(tmp_path / "m")) is None
