@@ -6,19 +6,21 @@
    ``SLOTS`` slots; they are a constant table inside the plan.
 2. Rates r >= 0 (and <= ``max_rate``) minimise the squared distance between the
    domains' expected tokens, sum of r * tokens * posterior, and their targets, by
-   projected gradient from r = 1. Every step is one aggregate over all documents;
-   the step is scaled by the inverse of the domains' token products, so few are
-   needed. A rate is an expression of the residuals so far: nothing is written.
+   projected gradient from r = 1. Posteriors are whole ``GRID``ths, so documents are
+   first added up by posterior; every step is one aggregate over these few rows. A
+   rate is an expression of the residuals so far. Targets out of reach end at the
+   nearest totals, with a warning.
 
 Defined results: NULL and empty texts have 0 tokens and the prior as posterior. A
 document without a usable label is not learnt from; without any the prior is even.
 A NULL doc_id is mixed like any other. ``copies`` is the rate rounded up or down by
 a hash of doc_id and text. Rows are mixed each for itself. An empty table gives no
-rows. Further columns are kept by ``mix_documents``.
+rows. Further columns of documents are not read by ``mix_documents``.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +34,9 @@ TRAIN_ROWS = 10_000
 SLOTS = 1 << 13
 CHANCE = 60.0  # chi-square of a term that has weight
 PSEUDO = 2.0
-STEPS = 30
+STEPS = 100
+LOOK_BACK = 10
+GRID = 1024  # posteriors are whole parts of it
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -163,47 +167,101 @@ def _dot(values: np.ndarray) -> Column:
     return sum(F.col(f"p_{n}") * F.lit(float(v)) for n, v in zip(DOMAINS, values, strict=True))
 
 
+def _cells(member: DataFrame) -> DataFrame:
+    """Tokens of equal posteriors added up: at most (GRID + 1)(GRID + 2) / 2 rows, however many documents there are."""
+    p = [f"p_{n}" for n in DOMAINS]
+    return materialise(member.groupBy(*p).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+
+
+def _clip(rate: Column, max_rate: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), rate)
+    return rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
+
+
+def _walk(moves: list[np.ndarray], max_rate: float | None) -> Column:
+    """The rate after ``moves`` from 1, as one loop over constant arrays, so that it stays short."""
+    if not moves:
+        return F.lit(1.0) if max_rate is None else F.lit(min(1.0, float(max_rate)))
+    tables = [_table([float(m[d]) for m in moves], "double") for d in range(len(DOMAINS))]
+    turn = lambda i: sum(F.col(f"p_{n}") * F.get(tables[d], i) for d, n in enumerate(DOMAINS))
+    start = F.lit(1.0 if max_rate is None else min(1.0, float(max_rate)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(moves) - 1)), start, lambda r, i: _clip(r - turn(i), max_rate))
+
+
 def fit_rates(
-    member: DataFrame, targets: dict[str, float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = 1e-9
+    member: DataFrame, targets: dict[str, float], max_rate: float | None = None, steps: int = STEPS, tolerance: float = 1e-7
 ) -> Column:
     """The rate of a row as an expression of its posteriors.
 
-    ``member`` has tokens and p_{domain}, written. ``targets`` are expected tokens.
+    ``member`` has tokens and p_{domain}, written. ``targets`` are expected tokens. Spectral
+    projected gradient: a step is as long as the last change of the rates was against the
+    change of their totals, shortened while it is worse than the last ``LOOK_BACK`` points,
+    never below 1 / the largest eigenvalue, with which no step is worse. The best point counts. Ends when the rates no longer move: that is
+    the least-squares optimum, whether or not the targets can be met.
     """
     p = [F.col(f"p_{n}") for n in DOMAINS]
     t = F.col("tokens").cast("double")
     size = len(DOMAINS)
-    first = member.agg(*[F.sum(t * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
-    products = np.array([v or 0.0 for v in first]).reshape(size, size)
-    scale = np.linalg.pinv(products, rcond=1e-9)
+    first = member.agg(F.sum(t), *[F.sum(t * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
+    total = first[0] or 0.0
+    if total == 0:
+        return F.lit(1.0)
+    largest = float(np.linalg.eigvalsh(np.array([v or 0.0 for v in first[1:]]).reshape(size, size)).max())
     target = np.array([targets[n] for n in DOMAINS])
-    rate: Column = F.lit(1.0)
-    before = None
+
+    history: list[np.ndarray] = []
+
+    def look(move: np.ndarray) -> tuple[np.ndarray, float]:
+        """Residuals of the domains after ``move``, and the squared change of the rates in tokens."""
+        at = member.withColumn("__from", _walk(history, max_rate))
+        at = at.withColumn("__to", _clip(F.col("__from") - _dot(move), max_rate))
+        turn = F.col("__to") - F.col("__from")
+        got = at.agg(*[F.sum(t * q * F.col("__to")) for q in p], F.sum(t * turn * turn)).first()
+        return np.array(got[:size], float) - target, float(got[size])
+
+    off, _ = look(np.zeros(size))
+    step, seen = 1 / largest, [float(off @ off)]
     for _ in range(steps):
-        got = member.agg(*[F.sum(t * q * rate) for q in p]).first()
-        off = np.array([v or 0.0 for v in got]) - target
-        step = scale @ off
-        if np.abs(off).max() <= tolerance * max(target.sum(), 1.0) or (before is not None and np.abs(before - off).max() <= tolerance * target.sum()):
+        new, change = look(off * step)
+        if new @ new > max(seen[-LOOK_BACK:]) and step > 1 / largest:
+            step = max(1 / largest, step / 4)
+            continue
+        history.append(off * step)
+        seen.append(float(new @ new))
+        turn = float((new - off) @ (new - off))
+        if change <= tolerance**2 * total or np.abs(new).max() <= tolerance * total:
             break
-        before = off
-        rate = F.greatest(F.lit(0.0), rate - _dot(step))
-        if max_rate is not None:
-            rate = F.least(F.lit(float(max_rate)), rate)
-    return rate
+        off, step = new, max(change / turn, 1 / largest) if turn > 0 else 1 / largest
+    return _walk(history[: int(np.argmin(seen))], max_rate)
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float | None], max_rate: float | None = None) -> DataFrame:
     """``docs`` with tokens, p_{domain}, rate and copies.
 
-    ``weights`` are shares of all tokens; they need not sum to 1.
+    ``weights`` are shares of all tokens; they need not sum to 1. None is the share that a domain has.
+    Posteriors are whole GRIDths. A warning tells when the weights cannot be met; ``reached`` says by how much.
     """
     text = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     judged = posteriors(text.select("doc_id", "text"), fit_classifier(text, labels))
+    whole = {n: F.round(F.col(f"p_{n}") * GRID) for n in DOMAINS[1:]}
+    # Two halves may both be rounded up: the last takes what the others leave.
+    whole[DOMAINS[-1]] = F.least(whole[DOMAINS[-1]], GRID - whole[DOMAINS[1]])
+    rest = F.lit(float(GRID)) - sum(whole.values())
+    grid = {f"p_{n}": whole.get(n, rest) / F.lit(float(GRID)) for n in DOMAINS}
     member = materialise(
-        judged.select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens", *[f"p_{n}" for n in DOMAINS]), "mix-members"
+        judged.select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens", *[c.alias(n) for n, c in grid.items()]), "mix-members"
     )
-    total = member.agg(F.sum("tokens")).first()[0] or 0
-    rate = fit_rates(member, {n: weights[n] * total for n in DOMAINS}, max_rate)
+    cells = _cells(member)
+    sums = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p_{n}")) for n in DOMAINS]).first()
+    total = sums[0] or 0
+    own = dict(zip(DOMAINS, [v or 0.0 for v in sums[1:]], strict=True))
+    targets = {n: own[n] if weights[n] is None else weights[n] * total for n in DOMAINS}
+    rate = fit_rates(cells, targets, max_rate)
+    got = cells.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate) for n in DOMAINS]).first()
+    far = {n: (v or 0.0) - targets[n] for n, v in zip(DOMAINS, got, strict=True)}
+    if any(abs(v) > 0.005 * total for v in far.values()):
+        shown = ", ".join(f"{n} {(targets[n] + far[n]) / total:.4f} for {targets[n] / total:.4f}" for n in DOMAINS)
+        warnings.warn(f"the weights cannot be met, nearest shares of all tokens: {shown}", stacklevel=2)
     uniform = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rates = member.withColumn("rate", rate)
     near = F.round("rate")
@@ -211,6 +269,19 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     return rates.withColumn("copies", settled.cast("long"))
 
 
+def reached(mixed: DataFrame) -> DataFrame:
+    """(domain, had, expected, chosen): shares of all tokens before, under the rates, and after rounding to copies."""
+    t, all_ = F.col("tokens"), F.sum("tokens")
+    share = lambda n, times: F.sum(t * F.col(f"p_{n}") * times) / all_
+    rows = [
+        F.struct(
+            F.lit(n).alias("domain"), share(n, F.lit(1.0)).alias("had"), share(n, F.col("rate")).alias("expected"), share(n, F.col("copies")).alias("chosen")
+        )
+        for n in DOMAINS
+    ]
+    return mixed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Every document as often as its copies say; columns of ``docs``."""
     times = mixed.filter("copies != 1").select(

@@ -209,6 +209,36 @@ def test_mixing(docs, labels):
     assert mixing.apply_mix(docs, mixing.mix_documents(docs, labels.limit(0), {n: 1 / 3 for n in mixing.DOMAINS})).columns == docs.columns
 
 
+@pytest.mark.parametrize(
+    "target, most", [((0.9, 0.02, 0.05), None), ((0.9, 0.02, 0.05), 1.0), ((1.05, 0.02, 0.01), 1.0), ((0.0, 0.0, 0.0), None)]
+)
+def test_rates_equal_a_slow_solver(spark, target, most):
+    """Also where bounds hold and the targets cannot be met."""
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([4, 0.4, 0.4], 400), rng.integers(0, 500, 400).astype(float)
+    wanted = np.array(target) * t.sum()
+    r = np.full(400, 1.0)
+    step = 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p).max()
+    for _ in range(50_000):
+        r = np.clip(r - step * (p @ ((p * (t * r)[:, None]).sum(axis=0) - wanted)), 0, most)
+    slow = np.sqrt((((p * (t * r)[:, None]).sum(axis=0) - wanted) ** 2).sum())
+    member = spark.createDataFrame([(int(n), *map(float, row)) for n, row in zip(t, p)], "tokens long, p_good double, p_toxic double, p_poor double")
+    rate = mixing.fit_rates(member, dict(zip(mixing.DOMAINS, wanted)), most)
+    got = np.array([x[0] for x in member.select(rate).collect()])
+    assert (got >= 0).all() and (most is None or (got <= most).all())
+    fast = np.sqrt((((p * (t * got)[:, None]).sum(axis=0) - wanted) ** 2).sum())
+    assert fast <= slow + 1e-3 * t.sum()
+
+
+def test_reached_shares(spark, docs, labels):
+    with pytest.warns(UserWarning, match="cannot be met"):
+        mixed = mixing.mix_documents(docs, labels, {"good": 5.0, "toxic": 0.0, "poor": 0.0}, max_rate=1.0)
+    by = {r.domain: r for r in mixing.reached(mixed).collect()}
+    assert by["good"].expected <= by["good"].had + 1e-9 and abs(sum(r.had for r in by.values()) - 1) < 1e-9
+    kept = mixing.mix_documents(docs, labels, {n: None for n in mixing.DOMAINS}, max_rate=1.0)
+    assert kept.filter("copies != 1").count() == 0
+
+
 def test_passages(docs):
     rows = chaining.repeated_passages(docs).collect()
     pairs = {(r.doc_a, r.doc_b): r for r in rows}
