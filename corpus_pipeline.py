@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orderlens.llm import bpe, linededup, mixing, nearhash, quality
 from orderlens.session import materialise
 
-#: Shares of the tokens that come in. Clean documents stay whole, toxic and poor ones are thinned out.
-WEIGHTS = {"good": 1.05, "toxic": 0.02, "poor": 0.01}
+#: Shares of the tokens that come in; None is the share that is there. Clean documents stay whole, others are thinned out.
+WEIGHTS = {"good": None, "toxic": 0.02, "poor": 0.01}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
