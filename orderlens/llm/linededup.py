@@ -145,7 +145,10 @@ def _update(key: tuple, held: pd.DataFrame, change: pd.DataFrame, insert: bool)
             if len(keys):
                 layers.append(Cuckoo.sized(layers[-1].buckets * SLOTS))
     else:
-        for layer in layers:
+        # Largest layer first. Buckets of a smaller layer are the low bits of a larger one's, so a print that
+        # equals a key's in a layer also equals it in all smaller ones: whichever of two such prints goes, the
+        # other still answers for both keys. The other way round a print of a key found only here could go.
+        for layer in reversed(layers):
             keys = layer.delete(keys)
     return pd.DataFrame(
         [(kind, shard, i, x.buckets, x.used, x.slots.tobytes()) for i, x in enumerate(layers)],

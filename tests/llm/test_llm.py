@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -102,6 +103,39 @@ def test_cuckoo_filter():
     assert cuckoo.has(keys[10_000:]).all() and cuckoo.has(keys[:10_000]).mean() < 0.001
 
 
+def test_cuckoo_layers_forget_only_what_is_deleted():
+    """Prints that are alike only in the small layer: the keys left are found after any order of deletions."""
+    rng = np.random.default_rng(5)
+    keys = rng.choice(1 << 60, 130_000, replace=False)
+    change = lambda part: pd.DataFrame({"h1": part})
+    filters = pd.DataFrame(columns=["kind", "shard", "layer", "buckets", "used", "slots"])
+    early, late = keys[:10_000], keys[10_000:]
+    for part in (early, late[:20_000], late[20_000:]):
+        filters = linededup._update(("held", 0), filters, change(part), True)
+    assert len(filters) == 3
+    for gone, left in ((late[:100_000], np.concatenate((early, late[100_000:]))), (early[:5_000], np.concatenate((early[5_000:], late[100_000:])))):
+        filters = linededup._update(("held", 0), filters, change(gone), False)
+        layers = linededup._layers(filters)
+        assert np.logical_or.reduce([x.has(left) for x in layers]).all()
+    assert filters["used"].sum() == len(left)
+
+
+def test_lines_added_and_removed_in_turns(docs):
+    """Documents that come and go again and again leave the state of those that stayed."""
+    rows = linededup.lines(docs)
+    some = lambda *ids: rows.filter(F.col("doc_id").isin(*ids))
+    state = linededup.add(linededup.empty_state(rows), some(0, 8, 11))
+    state = linededup.add(state, some(1, 9, 10, 13))
+    state = linededup.remove(state, docs.filter("doc_id in (8, 1)").select("doc_id"))
+    state = linededup.add(state, some(8, 2))
+    state = linededup.remove(state, docs.filter("doc_id in (8, 11)").select("doc_id"))
+    stay = (0, 2, 9, 10, 13)
+    kept = docs.filter(F.col("doc_id").isin(*stay))
+    shown = lambda df: sorted((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in df.collect())
+    assert shown(linededup.clean(state, kept, some(*stay))) == shown(linededup.dedup_lines(kept))
+    assert {(r.h1, r.h2, r.doc_id) for r in state.refs.collect()} == {(r.h1, r.h2, r.doc_id) for r in some(*stay).collect()}
+
+
 def test_bpe_equals_public_library(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}
     public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
