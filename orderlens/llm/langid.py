@@ -7,8 +7,10 @@ the numbers of distinct left neighbours. They are kept as sorted arrays of hashe
 grams with one log-probability a language; the tasks look every position of a text
 up and take the language of least cross-entropy a character. Scores lie in (0, 1]:
 the share of the best language if eight characters were judged. ``rejected`` is
-set where the cross-entropy is above what the learning texts of that language show
-(mean + ``SIGMAS`` standard deviations).
+set where the cross-entropy is above a limit of the predicted language, which a share
+of ``REJECTED`` of its fresh texts exceeds. Limits are calibrated on one in
+``CALIBRATION`` distinct learning texts, judged by models of the others; the models
+that predict are then made from all learning texts. A rejected text keeps its lang_pred.
 
 The model holds every 4-gram of every language, so discounts, totals and numbers of
 neighbours are those of all learning texts. It is made on the driver and broadcast;
@@ -35,7 +37,9 @@ from orderlens.session import materialise, ship_package
 
 ORDER = 4
 HELD = 1 << 20  # distinct grams a counting task holds before it hands them on
-SIGMAS = 4.0
+REJECTED = 0.01  # share of fresh texts of a learnt language that may be rejected
+CALIBRATION = 8  # one in so many distinct learning texts sets the limits of rejection
+FEW = 200  # texts that a language needs there for a quantile of its own
 JUDGED = 8
 SLICE = 1 << 20  # code points handled at once
 BLANK = 0x20
@@ -105,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             g, c = _merged(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(c)], names=["lang", "gram", "n"]
+                [pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], names=["lang", "gram", "n"]
             )
 
     for batch in batches:
@@ -283,25 +287,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def calibration_fold(text: Column) -> Column:
+    """One in CALIBRATION of the distinct texts; copies of a text fall on the same side."""
+    return F.pmod(F.xxhash64(text.cast("string")), F.lit(CALIBRATION)) == 0
+
+
+def limits(said: DataFrame, few: int = FEW) -> DataFrame:
+    """(lang_pred, most): the cross-entropy that a share REJECTED of each language's fresh texts exceeds; one row a language.
+
+    ``said`` has lang, lang_pred, cross_entropy and text_hash of texts that the models have not learnt; copies count
+    once and only texts of the predicted language count. Languages with fewer than ``few`` texts get their mean times
+    the pooled quotient of quantile and mean. The row with a NULL language is for those without any text.
+    """
+    fresh = said.filter("lang = lang_pred and cross_entropy is not null").select("lang_pred", "cross_entropy", "text_hash").distinct()
+    fresh = materialise(fresh, "lang-fresh")
+    quantile = lambda c: F.percentile_approx(c, F.lit(1 - REJECTED), F.lit(10_000))
+    own = fresh.groupBy("lang_pred").agg(
+        F.count("*").alias("texts"), F.avg("cross_entropy").alias("usual"), quantile(F.col("cross_entropy")).alias("exact")
+    )
+    own = materialise(own, "lang-usual")
+    pooled = fresh.join(own, "lang_pred").agg(
+        quantile(F.col("cross_entropy") / F.col("usual")).alias("factor"), F.avg("cross_entropy").alias("all_usual")
+    )
+    pooled = pooled.select("factor", (F.col("factor") * F.col("all_usual")).alias("all_most")).first()
+    factor, every = F.lit(pooled.factor).cast("double"), F.lit(pooled.all_most).cast("double")
+    most = F.when(F.col("texts") >= few, F.col("exact")).otherwise(F.col("usual") * factor)
+    rest = own.limit(1).select(F.lit(None).cast("string").alias("lang_pred"), every.alias("most"))
+    return own.select("lang_pred", most.alias("most")).unionByName(rest)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the documents not held out, predict all of them.
 
     doc_id, held_out, lang_pred, score, cross_entropy, rejected.
     """
-    docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    counts = materialise(count_grams(docs.filter("not held_out").select("text", "lang")), "lang-grams")
-    said = materialise(predict(docs, fit(counts), ["doc_id", "held_out"]), "lang-said")
-    usual = said.filter("not held_out and lang_pred != 'und'").groupBy("lang_pred").agg(
-        (F.avg("cross_entropy") + F.lit(SIGMAS) * F.coalesce(F.stddev_pop("cross_entropy"), F.lit(0.0))).alias("most")
-    )
-    return (
-        said.join(materialise(usual, "lang-usual"), "lang_pred", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "lang_pred",
-            "score",
-            "cross_entropy",
-            F.coalesce(F.col("cross_entropy") > F.col("most"), F.lit(False)).alias("rejected"),
-        )
+    text = F.col("text").cast("string")
+    docs = docs.select(
+        "doc_id",
+        text.alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.xxhash64(text).alias("text_hash"),
     )
+    learnt = docs.filter("not held_out and lang is not null and text is not null")
+    fold = learnt.filter(calibration_fold(F.col("text")))
+    rest = materialise(count_grams(learnt.filter(~calibration_fold(F.col("text")))), "lang-grams")
+    every = rest.unionByName(count_grams(fold)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    every = materialise(every, "lang-grams")
+    known = materialise(limits(predict(fold, fit(rest), ["lang", "text_hash"])), "lang-limits")
+    most = {r.lang_pred: r.most for r in known.collect()}
+    said = predict(docs, fit(every), ["doc_id", "held_out"])
+    # One row a language, at most as many as the models hold.
+    own = F.coalesce(*[F.when(F.col("lang_pred") == lang, F.lit(m)) for lang, m in most.items() if lang], F.lit(most.get(None)).cast("double"))
+    return said.withColumn("rejected", F.coalesce(F.col("cross_entropy") > own, F.lit(False)))
