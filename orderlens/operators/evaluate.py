@@ -212,6 +212,18 @@ def comparison_table(metrics: DataFrame) -> DataFrame:
     )
 
 
+def suite_table(runs: DataFrame, pred: Column, by: list[str]) -> DataFrame:
+    """One row per run: what ``prf`` gives and the recall of each anomaly family; one aggregation for all runs."""
+    found = lambda t: (F.col("anomaly_type") == t) & (F.col("is_anomaly") == 1)
+    counts = _counts(pred)
+    for t in ANOMALY_TYPES:
+        counts |= {f"_n_{t}": _n(found(t)), f"_tp_{t}": _n(found(t) & pred)}
+    out = runs.groupBy(*by).agg(*[c.alias(n) for n, c in counts.items()])
+    out = out.withColumns(_rates(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]))
+    out = out.withColumns({f"recall_{t}": ratio(F.col(f"_tp_{t}"), F.col(f"_n_{t}")) for t in ANOMALY_TYPES})
+    return out.drop(*[f"_{c}_{t}" for t in ANOMALY_TYPES for c in ("n", "tp")])
+
+
 def best_model(metrics: DataFrame, scaling: str = "mad_price") -> str:
     """Model with the highest F1 under ``scaling``."""
     ranked = metrics.filter(F.col("scaling") == scaling).orderBy(F.desc("f1"), "model")

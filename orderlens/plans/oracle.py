@@ -443,9 +443,9 @@ _vector = "[" + ", ".join(f"floor({c}*1000000+0.5)/1000000" for c in SCALED) + "
 STEPS["forest_all"] = f"SELECT {ITEM}, split, is_anomaly, anomaly_type, row_number() OVER (ORDER BY {ITEM}) AS rid, {_vector} AS x FROM scored"
 
 
-def forest(name: str, where: str) -> None:
-    """Steps {name}_train to {name}_trees: the forest of the rows of forest_all that ``where`` keeps."""
-    STEPS[f"{name}_train"] = f"SELECT {ITEM}, x FROM forest_all WHERE {where}"
+def forest(name: str, where: str, rows: str = "forest_all") -> None:
+    """Steps {name}_train to {name}_trees: the forest of the ``rows`` that ``where`` keeps."""
+    STEPS[f"{name}_train"] = f"SELECT {ITEM}, x FROM {rows} WHERE {where}"
     STEPS[f"{name}_size"] = f"SELECT least(1.0, 512.0/count(*))::DOUBLE AS share, floor(1/least(1.0, 512.0/count(*)))::BIGINT AS per FROM {name}_train"
     STEPS[f"{name}_sample"] = f"""
     SELECT tree, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {h60('rank', f'tree, {ITEM}')}, {ITEM}) AS rn
@@ -493,6 +493,38 @@ STEPS["forest_limit"] = "SELECT quantile_cont(score, 0.935) AS forest_limit FROM
 STEPS["forest_flagged"] = "SELECT *, score>forest_limit AS flagged FROM forest_scored, forest_limit"
 
 
+#: The suite: training rows and the balanced test, their vectors under each scaling, a forest of each.
+_suite_columns = f"{ITEM}, split, is_anomaly, anomaly_type, {', '.join(FEATURES)}"
+STEPS["forest_suite_rows"] = f"""
+SELECT {_suite_columns} FROM train UNION ALL SELECT {_suite_columns} FROM split WHERE split='anomaly'
+UNION ALL SELECT {_suite_columns} FROM (SELECT *, row_number() OVER (ORDER BY {h60('balanced', ITEM)}, {ITEM}) AS rn FROM split WHERE split='held')
+  WHERE rn<=(SELECT count(*) FROM split WHERE split='anomaly')
+"""
+_centred = [f"(coalesce({f},0.0)-mean_{i})/coalesce(nullif(std_{i},0),1.0)" for i, f in enumerate(FEATURES)]
+SUITE = {
+    "raw": [f"coalesce({f},0.0)" for f in FEATURES],
+    "standard": _centred,
+    "mad_price": [f"(coalesce({PRICE},0.0)-p.price_median)/p.price_scale", *_centred[1:]],
+}
+for _s, _columns in SUITE.items():
+    STEPS[f"forest_{_s}_all"] = (
+        f"SELECT {ITEM}, split, is_anomaly, anomaly_type, row_number() OVER (ORDER BY {ITEM}) AS rid, "
+        f"[{', '.join(f'floor({c}*1000000+0.5)/1000000' for c in _columns)}] AS x FROM forest_suite_rows, moments, price_scales p"
+    )
+    forest(f"forest_{_s}", "split='train'", f"forest_{_s}_all")
+    STEPS[f"forest_{_s}_walked"] = walked(f"forest_{_s}_all", f"forest_{_s}")
+    STEPS[f"forest_{_s}_scored"] = f"SELECT a.*, score FROM forest_{_s}_all a JOIN forest_{_s}_walked s ON a.rid=s.rid"
+STEPS["forest_suite"] = " UNION ALL ".join(
+    f"SELECT 'isolation_forest' AS model, '{s}' AS scaling, is_anomaly, anomaly_type, "
+    f"score>(SELECT quantile_cont(score, 0.935) FROM forest_{s}_scored WHERE split='train') AS flagged FROM forest_{s}_scored WHERE split<>'train'"
+    for s in SUITE
+) + (
+    " UNION ALL SELECT 'vector_length', 'mad_price', is_anomaly, anomaly_type, score>threshold FROM scored, native "
+    f"WHERE {ITEM} IN (SELECT {ITEM} FROM forest_suite_rows WHERE split<>'train')"
+)
+_suite = metrics("forest_suite", "flagged", "model, scaling")
+_suite_recalls = ", ".join(r4(ratio(f"tp_{t}", f"n_{t}"), f"recall_{t}") for t in TYPES)
+
 STEPS["keyed_scored"] = scaled_sql("keyed_clean")
 STEPS["keyed_rows"] = f"SELECT {ITEM}, row_number() OVER (ORDER BY {ITEM}) AS rid, {_vector} AS x FROM keyed_scored"
 STEPS["keyed_walked"] = walked("keyed_rows", "forest")
@@ -545,6 +577,8 @@ QUERIES: dict[str, str] = {
     "iforest_scores": f"SELECT {ITEM}, anomaly_type, {r4('score','score')}, flagged FROM forest_flagged",
     "forest_metrics": f"SELECT n, tp, fp, fn, tn, {RATE_COLUMNS} FROM ({metrics('forest_flagged', 'flagged')})",
     "forest_recall_by_type": _union([f"SELECT '{t}' AS anomaly_type, n_{t} AS true_count, tp_{t} AS true_positives, {r4(ratio(f'tp_{t}', f'n_{t}'),'recall')} FROM ({metrics('forest_flagged', 'flagged')})" for t in TYPES]),
+    "model_suite": f"SELECT model, scaling, n, tp, fp, fn, tn, {RATE_COLUMNS}, {_suite_recalls} FROM ({_suite})",
+    "best_model": f"SELECT model, {r4('f1','f1')} FROM ({_suite}) WHERE scaling='mad_price' ORDER BY f1 DESC, model LIMIT 1",
     "forest_sweep": _sweep("forest_scored", ["0.4", "0.45", "0.5", "0.55", "0.6"]),
     "full_data_model": " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_sweep(f'{m}_scored', ['0.45', '0.5', '0.55'])})" for m in ("forest", "full")),
     "stored_model": f"SELECT {ITEM}, {r4('score','score')}, flagged, 1.0::DOUBLE AS f1 FROM forest_flagged",

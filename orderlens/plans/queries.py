@@ -712,6 +712,50 @@ def model_comparison(spark, sf):
     return ev.comparison_table(ev.metric_table(spark, rows))
 
 
+def suite_runs(spark, sf) -> DataFrame:
+    """The balanced test under every run (model, scaling): forests of the three scalings, and the vector length."""
+
+    def build():
+        scaler, train = fitted_scaler(spark, sf), imputed_train(spark, sf)
+        test = materialise(balanced_test(labelled_table(spark, sf)), "balanced")
+        shown = [ITEM, "is_anomaly", "anomaly_type"]
+        runs = []
+        for scaling in SCALINGS:
+            model = fit_forest(apply_scaler(train, scaler, scaling).select(ITEM, *SCALED))
+            out = score_forest(model, apply_scaler(test, scaler, scaling).select(*shown, *SCALED))
+            runs.append(("isolation_forest", scaling, out.withColumn("flagged", F.col("score") > model.threshold)))
+        length = norm_score(apply_scaler(test, scaler))
+        runs.append(("vector_length", "mad_price", length.withColumn("flagged", F.col("score") > native(spark, sf))))
+        parts = [
+            out.select(F.lit(name).alias("model"), F.lit(scaling).alias("scaling"), *shown, "flagged") for name, scaling, out in runs
+        ]
+        together = parts[0]
+        for part in parts[1:]:
+            together = together.unionByName(part)
+        return materialise(together, "suite_runs")
+
+    return _once(spark, sf, "suite_runs", build)
+
+
+def suite_metrics(spark, sf) -> DataFrame:
+    return ev.suite_table(suite_runs(spark, sf), F.col("flagged"), ["model", "scaling"])
+
+
+@query
+def model_suite(spark, sf):
+    """Rates and recall by anomaly type of every run on the balanced test."""
+    recalls = [f"recall_{t}" for t in lab.ANOMALY_TYPES]
+    return suite_metrics(spark, sf).select("model", "scaling", "n", "tp", "fp", "fn", "tn", *rounded([*RATES, *recalls]))
+
+
+@query
+def best_model(spark, sf):
+    """The model with the highest F1 under the scaling that is deployed."""
+    metrics = suite_metrics(spark, sf)
+    best = ev.best_model(metrics)
+    return metrics.filter((F.col("scaling") == "mad_price") & (F.col("model") == best)).select("model", r4("f1"))
+
+
 @query
 def live_scoring(spark, sf):
     """The labelled stream through the live path: scores, flags and reasons."""

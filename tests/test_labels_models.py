@@ -326,3 +326,23 @@ def test_comparison_and_best_model(spark):
 def test_flag_fallback_uses_the_native_threshold(scaled):
     _, rows = scaled
     assert flag_rows(rows, None, 3.0).filter("flagged").count() == rows.filter("score > 3.0").count()
+
+
+def test_suite_table_equals_each_run_alone(spark):
+    """One aggregation over all runs gives what prf and recall_by_type give for each; absent families and runs without flags are 0."""
+    rows = [
+        (run, int(kind != "normal"), kind, (i * 7 + len(run)) % 3 == 0 and run != "c")
+        for run in ("a", "bb", "c")
+        for i, kind in enumerate(["normal", "price_spike", "delivery_delay", "normal", "price_spike"] * 5)
+    ]
+    runs = spark.createDataFrame(rows, "run string, is_anomaly int, anomaly_type string, flagged boolean")
+    got = {r.run: r.asDict() for r in ev.suite_table(runs, F.col("flagged"), ["run"]).collect()}
+    assert set(got) == {"a", "bb", "c"}
+    for run, row in got.items():
+        alone = runs.filter(F.col("run") == run)
+        for name, value in ev.prf(alone, F.col("flagged")).first().asDict().items():
+            assert row[name] == value
+        for r in ev.recall_by_type(alone, F.col("flagged")).collect():
+            assert row[f"recall_{r.anomaly_type}"] == r.recall
+    assert got["a"]["recall_inventory_depletion"] == 0 and got["c"]["f1"] == 0
+    assert ev.suite_table(runs.limit(0), F.col("flagged"), ["run"]).count() == 0
