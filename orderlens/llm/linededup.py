@@ -38,8 +38,8 @@ from orderlens.llm.text import LOWER, SPACE, U, mix, range_hashes, text_chunks
 from orderlens.session import materialise, ship_package
 
 MIN_POINTS = 10
-SHARD_KEYS = 200_000
-PART_ROWS = 200_000
+SHARD_KEYS = 50_000
+PART_ROWS = 50_000
 SLOTS = 4
 LOAD = 0.8
 KICKS = 500
