@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from conftest import equal_rows
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from orderlens.operators.scoring import norm_score
 from orderlens.session import materialise
 from orderlens.sources.stream import envelope, read_files
 from orderlens.sources.tables import read_feature_log, read_flags
+from orderlens.streaming import state
 from orderlens.streaming.job import STATE_STORE, ScoringConfig, start_scoring
 from orderlens.streaming.replay import replay_features
 from orderlens.streaming.seed import inventory_tail, price_tail, seed_tables, without_ids
@@ -114,6 +116,29 @@ def test_keyed_state_edge_cases(spark):
         assert got["13"]["discount_rate_anomaly"] == 0.0
 
 
+def test_many_groups_share_a_state_key(spark, case, monkeypatch):
+    """Calls are bounded by the buckets; groups of one bucket stay apart, seeds may come in several parts."""
+    replay, seeds, _ = case
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = replay.withColumn("product_id", F.when(F.col("order_id") % 50 != 0, F.col("product_id")))
+        live = materialise(live_features(rows, *seeds), "bucketed")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert live.columns == [*replay_features(rows, *seeds).columns]
+    equal_rows(live.fillna(-1.0, FEATURES), replay_features(rows, *seeds).fillna(-1.0, FEATURES), FEATURES)
+
+
+def test_last_values_of_several_groups():
+    history = np.array([[np.nan, 1.0], [np.nan, np.nan], [2.0, 4.0]])
+    at = np.array([0, 0, 0, 2, 2])
+    price = np.array([3.0, np.nan, 5.0, 6.0, 8.0])
+    last = state._LastValues(history, at, price, np.isfinite(price))
+    assert last.fold(np.nanmedian, price).tolist() == [1.0, 2.0, 2.0, 3.0, 5.0]
+    assert np.nan_to_num(last.tails(), nan=-1.0).tolist() == [[3.0, 5.0], [-1.0, -1.0], [6.0, 8.0]]
+
+
 def test_late_order_is_charged_to_the_current_window(spark):
     history = small_orders(spark, [{"order_date": "2024-01-01", "quantity": 2.0}])
     live = small_orders(
