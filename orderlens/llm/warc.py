@@ -45,14 +45,20 @@ _READ = (
 
 
 def sha1_base32(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 160 bits are 8 groups of 20, each four letters."""
-    digest = F.sha1(payload)
-    letters = []
-    for group in range(8):
-        number = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            letters.append(F.substring(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*letters)
+    """Upper-case base32 of the SHA-1: 160 bits are 8 groups of 20, each four letters.
+
+    The hash and the number of each group are bound by lambdas: written out, Spark hashes the payload anew for every letter.
+    """
+
+    def letters(number: Column) -> Column:
+        values = [F.shiftright(number, shift).bitwiseAND(31) for shift in (15, 10, 5, 0)]
+        return F.concat(*[F.substring(F.lit(BASE32), value + 1, F.lit(1)) for value in values])
+
+    def written(digest: Column) -> Column:
+        numbers = [F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int") for group in range(8)]
+        return F.array_join(F.transform(F.array(*numbers), letters), "")
+
+    return F.when(payload.isNotNull(), F.get(F.transform(F.array(F.sha1(payload)), written), F.lit(0)))
 
 
 def records_of(df: DataFrame, record_id: str, url: str, payload: str) -> DataFrame:

@@ -333,3 +333,9 @@ def test_nearest(spark):
     assert set(got) == set(range(0, 600, 50)) and hits >= 0.9 * 60
     assert graph_ann.nearest(df.limit(0)).count() == 0
     assert [r.vec_id for r in sorted(graph_ann.nearest(df.filter("vec_id < 3")).collect())] != []
+
+
+def test_payload_is_hashed_once(spark):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    shown = warc.records_of(pages, "page_id", "url", "html")
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
