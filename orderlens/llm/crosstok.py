@@ -366,12 +366,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scores(block: pa.Table) -> pa.Table:
-    """For each document of a block: links whose count is the best of their B id, and the sum of counts over its links."""
+def _scores(block: pa.Table, counted: pa.Table) -> pa.Table:
+    """For each document of a block: links whose count is the best of their B id, and the sum of counts over its links.
+
+    ``counted`` has the count of each (``linked``) pair of the block, in any order.
+    """
     block = block.combine_chunks()
     planes = block.column("planes").chunk(0) if block.num_rows else pa.array([], pa.list_(pa.binary()))
     row, place, times = postings_of(planes, block.column("docs").to_numpy())
-    count, best = block.column("count").to_numpy(), block.column("best").to_numpy().astype(bool)
+    known = counted.column("linked").to_numpy()
+    order = np.argsort(known)
+    at = order[np.searchsorted(known, block.column("pair").to_numpy(), sorter=order)]
+    count, best = counted.column("count").to_numpy()[at], counted.column("best").to_numpy().astype(bool)[at]
     docs = int(block.column("docs")[0].as_py())
     total = np.zeros(docs, np.int64)
     np.add.at(total, place, times * count[row])
@@ -418,8 +424,13 @@ def alignment(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     made = align(docs, a, b)
     counts = pair_counts(made).select("pair", F.col("n_links").alias("count"), "best")
-    asked = made.filter("pair is not null").select("block", "pair", "docs", "planes").join(counts, "pair").drop("pair")
-    scored = asked.groupBy("block").applyInArrow(_scores, "block long, place int, n_best long, count_sum long")
+    postings = made.filter("pair is not null").select("block", "pair", "docs", "planes")
+    # The counts travel to the blocks by their pairs; the planes, most of the bytes, are dealt once only.
+    counted = postings.select(F.col("block").alias("of_block"), F.col("pair").alias("of_pair")).join(counts, F.col("of_pair") == F.col("pair"))
+    counted = counted.select("of_block", F.col("of_pair").alias("linked"), "count", "best")
+    scored = postings.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(
+        _scores, "block long, place int, n_best long, count_sum long"
+    )
     rows = made.filter("place is not null").select("doc_id", "block", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     return rows.join(scored, ["block", "place"], "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links",

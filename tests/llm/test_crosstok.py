@@ -103,3 +103,15 @@ def test_planes_round_trip(docs):
     row, where, times = crosstok.postings_of(pa.array(planes, pa.list_(pa.binary())), np.full(len(distinct), docs))
     back = Counter({(int(distinct[r]), int(p)): int(t) for r, p, t in zip(row, where, times)})
     assert back == Counter(zip(pairs.tolist(), place.tolist()))
+
+
+def test_counts_reach_a_block_without_its_planes():
+    """Counts come as a table of their own, in any order, and meet the postings by pair."""
+    import pyarrow as pa
+
+    pairs, places = np.array([7, 7, 9, 5]), np.array([0, 1, 1, 0])
+    distinct, planes = crosstok.planes_of(pairs, places, 2)
+    block = pa.table({"block": [3] * 3, "pair": distinct, "docs": [2] * 3, "planes": pa.array(planes, pa.list_(pa.binary()))})
+    counted = pa.table({"linked": [9, 5, 7], "count": [10, 100, 1000], "best": [False, True, True]})
+    scores = crosstok._scores(block, counted).to_pydict()
+    assert (scores["n_best"], scores["count_sum"]) == ([2, 1], [1100, 1010])
