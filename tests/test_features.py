@@ -15,7 +15,7 @@ from orderlens.operators.features import (
 )
 from orderlens.operators.inventory import inventory_balance, offline_reference, pair_constants
 from orderlens.operators.ordered import ordered_groups
-from orderlens.operators import quantiles
+from orderlens.operators import ordered, quantiles
 from orderlens.operators.quantiles import grouped_percentiles, percentile_values
 from orderlens.session import materialise
 from orderlens.sources.orders import EVENT_ORDER, ORDER_SCHEMA, PRICE_KEYS
@@ -188,3 +188,18 @@ def test_split_rows_are_all_kept(skewed):
     out = materialise(price_baseline(skewed, max_rows=60))
     assert out.count() == skewed.count()
     assert out.select("order_item_id").distinct().count() == skewed.count()
+
+
+def test_groups_above_is_exact_where_hashes_meet(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "HASHED", 3)
+    for limit in (20, 100):
+        want = skewed.groupBy("product_id", "order_region").count().filter(F.col("count") > limit).drop("count")
+        got = ordered.groups_above(skewed, ["product_id", "order_region"], limit)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ordered.groups_above(skewed, ["order_item_id"], 5) is None
+
+
+def test_zscores_are_not_shuffled_with_the_orders(orders):
+    plan = offline_reference(orders)._jdf.queryExecution().optimizedPlan().toString()
+    added = " AS delivery_delay_deviation#"
+    assert added in plan and added not in plan[plan.index("Window [") :]
