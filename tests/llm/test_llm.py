@@ -339,3 +339,13 @@ def test_payload_is_hashed_once(spark):
     pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     shown = warc.records_of(pages, "page_id", "url", "html")
     assert shown._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+
+
+def test_passage_query_names_documents_by_doc_id(spark):
+    from orderlens.llm.queries import op4_passages
+
+    found = op4_passages(spark, "/root/testdata/sf0.001")
+    assert dict(found.dtypes)["doc_id"] == dict(found.dtypes)["other_doc_id"] == "bigint"
+    rows = chaining.repeated_passages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    assert sorted((r.doc_b, r.start_b, r.end_b, r.doc_a, r.start_a, r.end_a, r.equal_words, r.identity) for r in rows) == sorted(map(tuple, found.collect()))
+    assert all(r.doc_id > r.other_doc_id for r in found.collect())
