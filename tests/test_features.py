@@ -203,3 +203,12 @@ def test_zscores_are_not_shuffled_with_the_orders(orders):
     plan = offline_reference(orders)._jdf.queryExecution().optimizedPlan().toString()
     added = " AS delivery_delay_deviation#"
     assert added in plan and added not in plan[plan.index("Window [") :]
+
+
+def test_large_tables_are_dealt_to_tasks_of_bounded_size(orders, monkeypatch):
+    whole = materialise(inventory_balance(price_baseline(orders)), "whole")
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    parts = -(-orders.count() // 500)
+    assert price_baseline(orders).rdd.getNumPartitions() == parts
+    assert inventory_balance(orders).rdd.getNumPartitions() == parts
+    equal_rows(inventory_balance(price_baseline(orders)), whole, ["price_baseline", "stock_after_order"])

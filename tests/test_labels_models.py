@@ -8,7 +8,15 @@ from orderlens.operators import evaluate as ev
 from orderlens.operators.features import FEATURES, PRICE_FEATURE
 from orderlens.operators.iforest import average_path, fit_forest, score_forest, tree_samples
 from orderlens.operators.knn import build_tree
-from orderlens.operators.labels import ANOMALY_TYPES, anomaly_summary, label_check, label_subsets, labelled_orders
+from orderlens.operators.inventory import inventory_balance
+from orderlens.operators.labels import (
+    ANOMALY_TYPES,
+    STOCK_COLUMNS,
+    anomaly_summary,
+    label_check,
+    label_subsets,
+    labelled_orders,
+)
 from orderlens.operators.lof import fit_lof, score_lof
 from orderlens.operators.sampling import (
     block_places,
@@ -346,3 +354,13 @@ def test_suite_table_equals_each_run_alone(spark):
             assert row[f"recall_{r.anomaly_type}"] == r.recall
     assert got["a"]["recall_inventory_depletion"] == 0 and got["c"]["f1"] == 0
     assert ev.suite_table(runs.limit(0), F.col("flagged"), ["run"]).count() == 0
+
+
+def test_labelled_rows_need_no_window_and_keep_the_stock_of_the_whole_table(skewed):
+    """Pairs without bursts take their stock over; it is that of the labelled table computed as a whole."""
+    got = labelled_orders(skewed)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = materialise(got, "labelled")
+    whole = inventory_balance(got.drop(*STOCK_COLUMNS), keep_unkeyed=True).na.fill(0.0, subset=STOCK_COLUMNS)
+    assert got.filter("anomaly_type = 'inventory_depletion'").count() > 0
+    equal_rows(got, whole, STOCK_COLUMNS)
