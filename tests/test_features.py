@@ -212,3 +212,19 @@ def test_large_tables_are_dealt_to_tasks_of_bounded_size(orders, monkeypatch):
     assert price_baseline(orders).rdd.getNumPartitions() == parts
     assert inventory_balance(orders).rdd.getNumPartitions() == parts
     equal_rows(inventory_balance(price_baseline(orders)), whole, ["price_baseline", "stock_after_order"])
+
+
+def test_groups_are_cut_well_below_what_a_day_may_hold(skewed, monkeypatch):
+    whole = materialise(price_baseline(skewed), "whole")
+    stock = materialise(inventory_balance(skewed), "stock")
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 60)
+    groups = ordered_groups(skewed, PRICE_KEYS, EVENT_ORDER)
+    assert groups.split
+    equal_rows(price_baseline(skewed), whole, ["price_baseline"])
+    equal_rows(inventory_balance(skewed), stock, ["stock_after_order", "recent_demand", "stock_decline_rate"])
+    # History comes from the last days of a chunk only, and every chunk but a group's first has all of it.
+    last = groups.rows.filter(F.col(ordered.LAST) > 0)
+    assert last.filter(F.col(ordered.AFTER) < 5).count() < 0.7 * last.count()
+    history = groups.with_history(5).rows.filter(F.col(ordered.HISTORY)).groupBy(*groups.partition).count()
+    later = last.select(*groups.partition).filter(F.col(ordered.CHUNK) > 1).distinct()
+    assert history.filter("count >= 5").join(later, groups.partition).count() == later.count()

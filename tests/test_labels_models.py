@@ -364,3 +364,21 @@ def test_labelled_rows_need_no_window_and_keep_the_stock_of_the_whole_table(skew
     whole = inventory_balance(got.drop(*STOCK_COLUMNS), keep_unkeyed=True).na.fill(0.0, subset=STOCK_COLUMNS)
     assert got.filter("anomaly_type = 'inventory_depletion'").count() > 0
     equal_rows(got, whole, STOCK_COLUMNS)
+
+
+def test_training_scores_are_matched_without_a_shuffle(spark):
+    from orderlens.operators.evaluate import calibrated_threshold, true_rate
+    from orderlens.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    labelled, clean = queries.labelled_table(spark, sf), queries.clean_scored_table(spark, sf)
+    train = train_rows(labelled)
+    by_id = clean.drop("split", "is_anomaly", "anomaly_type").join(train.select("order_item_id"), "order_item_id", "left_semi")
+    by_split = train_rows(clean)
+    shown = ["order_item_id", "score"]
+    assert by_id.count() > 0
+    assert by_id.select(shown).exceptAll(by_split.select(shown)).count() == 0
+    assert by_split.select(shown).exceptAll(by_id.select(shown)).count() == 0
+    rate = true_rate(labelled)
+    assert calibrated_threshold(clean, train, rate) == calibrated_threshold(clean.drop("split"), train, rate)
+    assert "Exchange" not in by_split._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
