@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.text import LOWER, SPACE, U, mix, range_hashes, text_chunks
+from orderlens.llm.text import LOWER, SPACE, U, apart, mix, range_hashes, text_chunks
 from orderlens.session import materialise, ship_package
 
 MIN_POINTS = 10
@@ -348,7 +348,9 @@ def clean(state: LineState, docs: DataFrame, rows: DataFrame) -> DataFrame:
         .agg(F.collect_list("pos").alias("__dropped"))
     )
     dropped = materialise(dropped, "line-dropped")
-    joined = docs.join(dropped, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    whole, cut = apart(docs, "doc_id", dropped, "__doc")
+    joined = cut.join(dropped, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    joined = joined.unionByName(whole, allowMissingColumns=True)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     return joined.select(

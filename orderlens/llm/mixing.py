@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.text import words_of
+from orderlens.llm.text import apart, words_of
 from orderlens.session import materialise
 
 DOMAINS = ("good", "toxic", "poor")
@@ -287,7 +287,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     times = mixed.filter("copies != 1").select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")
     ).distinct()
+    times = materialise(times, "mix-times")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    once, others = apart(docs, "doc_id", times, "__doc")
+    joined = others.join(times, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
     copies = F.coalesce("__copies", F.lit(1))
-    return joined.filter(copies > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    chosen = joined.filter(copies > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    return once.unionByName(chosen)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orderlens.llm import setjoin
 from orderlens.llm.graph import components
-from orderlens.llm.text import U, list_column, mix, shingle_sets, text_chunks
+from orderlens.llm.text import U, apart, list_column, mix, shingle_sets, text_chunks
 from orderlens.session import materialise, ship_package
 
 ROWS, BANDS = 7, 54
@@ -280,4 +280,6 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Documents without those linked to a smaller doc_id; of rows with one doc_id all stay or go."""
     gone = near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(gone, "gone")
+    stay, asked = apart(docs, "doc_id", gone, "doc_id")
+    return stay.unionByName(asked.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.text import shingle_hashes, text_chunks, word_hashes
+from orderlens.llm.text import apart, shingle_hashes, text_chunks, word_hashes
 from orderlens.session import materialise, ship_package
 
 TRAIN_ROWS = 20_000
@@ -244,4 +244,6 @@ def source_path() -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, cut: float = CUT) -> DataFrame:
     """The documents that are not rejected, all columns."""
     gone = judge(docs, labels, host, path, cut).filter("not keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(gone, "gone")
+    stay, asked = apart(docs, "doc_id", gone, "doc_id")
+    return stay.unionByName(asked.join(gone, "doc_id", "left_anti").select(*docs.columns))
