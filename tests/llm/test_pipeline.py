@@ -46,3 +46,19 @@ def test_texts_that_no_decision_can_touch_are_not_joined(spark, monkeypatch, bit
     got = mixing.apply_mix(docs, mixed)
     want = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is null or doc_id % 10 != 3"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_texts_are_not_shuffled_for_a_filter_above_the_broadcast_threshold(spark):
+    from orderlens.llm import text
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    gone = docs.filter("doc_id % 10 = 3").select("doc_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")
+    try:
+        stay, asked = text.apart(docs, "doc_id", gone, "doc_id")
+        for part in (stay, asked):
+            plan = part._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
