@@ -3,7 +3,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.sources.orders import read_orders_csv, supplier_column, time_column, typed_orders
+from orderlens.sources.orders import read_orders_csv, star_orders, star_table, supplier_column, time_column, typed_orders
 from orderlens.sources.stream import PAYLOAD, envelope, open_envelope
 from orderlens.sources.tables import FlagIncrements, load_manifest, read_feature_log, read_flags, write_batch
 
@@ -37,6 +37,23 @@ def test_column_resolution_order():
         time_column(["x"])
 
 
+def test_line_items_are_shuffled_for_their_orders_only(spark):
+    sf = "/root/testdata/sf0.01"
+    orders = star_orders(spark, sf)
+    plan = orders._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" not in plan and "hashpartitioning(l_partkey" not in plan
+    suppliers = {r["n_nationkey"]: r["r_name"] for r in star_table(spark, sf, "nation").join(
+        star_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()}
+    region = {r["s_suppkey"]: suppliers[r["s_nationkey"]] for r in star_table(spark, sf, "supplier").collect()}
+    lines = star_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()
+    want = sorted((f"{a}-{b}-{c}-{d}", region[d]) for a, b, c, d in lines)
+    assert sorted((r[0], r[1]) for r in orders.select("order_item_id", "order_region").collect()) == want
+    dealt = star_orders(spark, sf, 1000)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "RoundRobin" not in plan and "l_tax" not in plan
+    assert dealt.exceptAll(orders).count() == 0 and dealt.count() == orders.count()
+
+
 def test_envelope_round_trip(spark, orders):
     labelled = orders.withColumn("is_anomaly", F.lit(1)).withColumn("row_index", F.col("order_id"))
     message = envelope(labelled, "row_index")
