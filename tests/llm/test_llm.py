@@ -312,6 +312,36 @@ def test_passages_behind_pieces(spark):
     assert all(r.equal_words >= 0.8 * max(r.end_a - r.start_a, r.end_b - r.start_b) for r in rows)
 
 
+def test_changed_passages_behind_pieces(spark):
+    """A changed passage whose seeds all lead to smaller documents, few or many, that hold a piece of it."""
+    texts = {}
+    for case in range(6):
+        whole, doc = sentence(7000 + case, 70).split(), case * 100
+        for i, at in enumerate(range(0, 40, 6)):
+            texts[doc + i] = [*sentence(7100 + doc + i, 30).split(), *whole[at : at + 40], *sentence(7900 + doc + i, 9).split()]
+        for i, changed in ((10, 20), (20, 48)):
+            copy = list(whole)
+            copy[changed] = f"changed{i}"
+            texts[doc + i] = [*sentence(8000 + doc + i, 12).split(), *copy, *sentence(8700 + doc + i, 12).split()]
+    line = sentence(9000, 24).split()  # of every document from 10,000 on; only three share more
+    around, other = sentence(9001, 23).split(), sentence(9002, 23).split()
+    for i in range(80):
+        texts[10_000 + i] = [*sentence(9100 + i, 60).split(), *line, *sentence(9200 + i, 60).split()]
+    for i, every in ((10_100, 0), (10_101, 6), (10_102, 7)):  # no seed outside of the line
+        before, after = list(around), list(other)
+        for words in (before, after):
+            for at in range(every - 2, len(words), every) if every else ():
+                words[at] = f"changed{i}-{at}"
+        texts[i] = [*sentence(9300 + i, 40).split(), *before, *line, *after, *sentence(9400 + i, 40).split()]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+    pairs = {(r.doc_a, r.doc_b): r for r in chaining.repeated_passages(table).collect()}
+    for case in range(6):
+        r = pairs[(case * 100 + 10, case * 100 + 20)]
+        assert (r.start_a, r.end_a, r.start_b, r.end_b, r.equal_words) == (12, 82, 12, 82, 68)
+    assert {b for a, b in pairs if a == 10_100} == {10_101, 10_102}
+    assert all(a >= 10_100 for a, b in pairs if b >= 10_000) and not any(b in range(10_000, 10_100) for _, b in pairs)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)
