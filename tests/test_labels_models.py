@@ -382,3 +382,28 @@ def test_training_scores_are_matched_without_a_shuffle(spark):
     rate = true_rate(labelled)
     assert calibrated_threshold(clean, train, rate) == calibrated_threshold(clean.drop("split"), train, rate)
     assert "Exchange" not in by_split._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_forest_paths_equal_a_walk_row_by_row():
+    """Ranks and masks in place of values and lookups: every row ends in the leaf that its own values lead to."""
+    import pandas as pd
+
+    from orderlens.operators.iforest import Forest, grow_tree
+
+    rng = np.random.default_rng(11)
+    rows = np.round(rng.standard_normal((3000, 5)) * [1, 5, 0.1, 30, 2], 2)
+    rows[::7, 1], rows[5, 0], rows[6, 2], rows[7, 3] = 0.0, np.nan, np.inf, -np.inf
+    for sample, steps in ((256, 8), (40, 6), (2, 1)):
+        grown = [[(t, *n) for n in grow_tree(np.nan_to_num(rows[t::30][:sample], posinf=9, neginf=-9), t, 3, steps)] for t in range(20)]
+        nodes = pd.DataFrame([n for tree in grown for n in tree], columns=["tree", "node", "feature", "cut", "low", "high", "path", "rows"])
+        nodes.loc[nodes["feature"] >= 0, "cut"] = nodes["cut"].round(2)  # many values are equal to a cut
+        got = Forest(nodes, 5, steps).paths(rows)
+        trees = [{n.node: n for n in t.itertuples()} for _, t in nodes.groupby("tree")]
+        for x, total in zip(rows[:400].tolist(), got[:400].tolist(), strict=True):
+            walked = 0
+            for tree in trees:
+                at = tree[1]
+                while at.feature >= 0:
+                    at = tree[at.high if x[at.feature] > at.cut else at.low]
+                walked += at.path
+            assert walked == total
