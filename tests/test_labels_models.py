@@ -407,3 +407,27 @@ def test_forest_paths_equal_a_walk_row_by_row():
                     at = tree[at.high if x[at.feature] > at.cut else at.low]
                 walked += at.path
             assert walked == total
+
+
+def test_lof_takes_neighbours_of_training_points_from_the_fit(spark, monkeypatch):
+    """Only points that are not in the fit are searched for, and the scores are those of a search for all."""
+    from dataclasses import replace
+
+    from orderlens.operators import lof
+
+    rng = np.random.default_rng(4)
+    rows = [tuple(v) for v in np.round(rng.standard_normal((300, 2)), 1).tolist()]  # many copies
+    train = spark.createDataFrame(rows[:200], "a double, b double")
+    model = fit_lof(train, ["a", "b"], k=7, leaf_rows=16)
+    asked, search = [], lof.nearest_lists
+
+    def counted(points, queries, *rest):
+        asked.append(queries.count())
+        return search(points, queries, *rest)
+
+    monkeypatch.setattr(lof, "nearest_lists", counted)
+    every = spark.createDataFrame(rows, "a double, b double")
+    got = sorted(map(tuple, score_lof(model, every).collect()))
+    searched = sorted(map(tuple, score_lof(replace(model, lists=None), every).collect()))
+    assert np.allclose(got, searched)
+    assert asked == [len(set(rows) - set(rows[:200])), len(set(rows))]
